@@ -4,9 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from paceline.sources import delimited
+from paceline.functions import grids
+from paceline.functions import vectors as V
+from paceline.operators import cnn, metrics, models, partitioning, prep
+from paceline.plans import loop, tuning
+from paceline.plans.fit_sql import POINTS, TASKS, fit_sql, trace_sql
+from paceline.plans.lineage import cut, store
+from paceline.sources import delimited, points
+from paceline.streaming import barrier
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -36,3 +45,503 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def p5_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delimited.loaded(delimited.parse_lines(table(spark, sf_dir, "sample_lines")))
+
+
+# ---- sources and parsing
+
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x"))
+
+
+def tasked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store(prep.tasks_by_position(embeddings(spark, sf_dir), 4, ["id"]))
+
+
+@query("SELECT count(*) AS n, sum(l_orderkey) AS keys, round(sum(l_quantity), 4) AS q, round(sum(l_discount), 4) AS d, round(sum(l_tax), 4) AS t FROM lineitem")
+def points_parse_text(spark, sf_dir):
+    """Lineitem as lines ``id TAB x1,x2,x3``, parsed again."""
+    line = F.concat(F.col("l_orderkey").cast("string"), F.lit("\t"), F.concat_ws(",", *[F.col(c).cast("string") for c in ("l_quantity", "l_discount", "l_tax")]))
+    k, v = points.key_value(line)
+    x = table(spark, sf_dir, "lineitem").select(k.cast("long").alias("id"), points.parse_vector(v).alias("x"))
+    at = lambda i: F.round(F.sum(F.get("x", F.lit(i))), 4)
+    return x.agg(F.count("*").alias("n"), F.sum("id").alias("keys"), at(0).alias("q"), at(1).alias("d"), at(2).alias("t"))
+
+
+@query(r"""SELECT line_id, string_split(l, chr(9))[1] AS key, CASE WHEN len(string_split(l, chr(9))) = 2 THEN string_split(l, chr(9))[2] ELSE '' END AS value
+FROM (SELECT line_id, regexp_replace(coalesce(line, ''), '\t+$', '') AS l FROM sample_lines)""")
+def kv_malformed_lines(spark, sf_dir):
+    k, v = points.key_value(F.col("line"))
+    return table(spark, sf_dir, "sample_lines").select("line_id", k.alias("key"), v.alias("value"))
+
+
+@query("SELECT o_orderkey, n::INT AS n, round(w, 4) AS w FROM (SELECT o_orderkey, 2 AS n, 0.5 + o_totalprice AS w FROM orders)")
+def parse_int_pairs(spark, sf_dir):
+    text = F.concat_ws(",", F.lit("7"), F.lit("0.5"), (F.col("o_orderkey") % 1000).cast("string"), F.col("o_totalprice").cast("string"), F.lit("9"))
+    pairs = points.parse_pairs(text)
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.size(pairs).alias("n"), F.round(F.aggregate(pairs, F.lit(0.0), lambda a, p: a + p["weight"]), 4).alias("w"))
+
+
+@query("SELECT vec_id AS id, round(list_sum(list_transform(embedding, lambda v: v::DOUBLE)), 5) AS s FROM embeddings UNION ALL SELECT 2799999 + row_number() OVER (ORDER BY s_suppkey), round(s_acctbal, 5) FROM supplier")
+def union_local_points(spark, sf_dir):
+    local = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.array("s_acctbal").alias("x"))
+    both = points.with_local(embeddings(spark, sf_dir), local, 2_800_000)
+    return both.select("id", F.round(V.total(F.col("x")), 5).alias("s"))
+
+
+@query("SELECT vec_id AS id, len(embedding)::INT - 1 AS n, round(embedding[64]::DOUBLE, 6) AS label FROM embeddings")
+def labelled_points(spark, sf_dir):
+    f, y = points.labelled(F.col("x"))
+    return embeddings(spark, sf_dir).select("id", F.size(f).alias("n"), F.round(y, 6).alias("label"))
+
+
+# ---- partitioning
+
+TASKED = "SELECT id, (rn * 4 // total)::INT AS task FROM (SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) - 1 AS rn, count(*) OVER () AS total FROM embeddings)"
+
+
+@query(f"SELECT task, count(*) AS n, min(id) AS min_id FROM ({TASKED}) GROUP BY task")
+def task_assignment(spark, sf_dir):
+    return tasked(spark, sf_dir).groupBy("task").agg(F.count("*").alias("n"), F.min("id").alias("min_id"))
+
+
+@query(f"SELECT task, min_id, coalesce(lead(min_id) OVER (ORDER BY min_id) - 1, t.n + t.m - 1) AS max_id FROM (SELECT task, min(id) AS min_id FROM ({TASKED}) GROUP BY task), (SELECT count(*) AS n, min(vec_id) AS m FROM embeddings) t")
+def route_table(spark, sf_dir):
+    return partitioning.route_table(tasked(spark, sf_dir))
+
+
+@query(f"SELECT id, task FROM ({TASKED})")
+def id_to_task(spark, sf_dir):
+    routes = [(r.task, r.min_id) for r in partitioning.route_table(tasked(spark, sf_dir)).collect()]
+    return partitioning.task_of(embeddings(spark, sf_dir), routes).select("id", "task")
+
+
+@query("SELECT length, skew::DOUBLE AS skew, i AS task, CASE WHEN i = 0 THEN s + 3 * m WHEN i < 3 THEN s - m ELSE length - (s + 3 * m) - 2 * (s - m) END AS size FROM (SELECT length, skew, ceil(length / 4.0)::BIGINT AS s, ceil(skew * ceil(length / 4.0) / (skew + 4))::BIGINT AS m FROM (VALUES (1000, 0.0), (1000, 0.5), (1003, 0.9)) v(length, skew)), range(4) g(i)")
+def split_sizes_skewed(spark, sf_dir):
+    rows = [(n, k, i, size) for n, k in ((1000, 0.0), (1000, 0.5), (1003, 0.9)) for i, size in enumerate(partitioning.split_sizes(n, 4, k))]
+    return spark.createDataFrame(rows, "length int, skew double, task long, size long")
+
+
+@query("SELECT t AS task, (t // 4)::INT AS worker FROM range(10) g(t)")
+def task_placement(spark, sf_dir):
+    return spark.createDataFrame(list(enumerate(partitioning.placement(10, 3))), "task long, worker int")
+
+
+@query("SELECT job_id, row_number() OVER (ORDER BY coalesce(priority, 6)::VARCHAR, submitted_at NULLS FIRST, job_id) AS rank FROM fit_jobs")
+def job_queue_order(spark, sf_dir):
+    return partitioning.job_order(table(spark, sf_dir, "fit_jobs")).select("job_id", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"""SELECT id, CASE WHEN task = 0 AND pos >= n - n // 6 * 3 THEN ((4 * (((pos - (n - n // 6 * 3)) // 10) % 3 + 1)) % 16)::INT ELSE task END AS task
+FROM (SELECT id, task, row_number() OVER (PARTITION BY task ORDER BY id) - 1 AS pos, count(*) OVER (PARTITION BY task) AS n FROM ({TASKED}))""")
+def migrate_tail(spark, sf_dir):
+    return partitioning.migrated(tasked(spark, sf_dir), 0, 16, chunk=10).select("id", "task")
+
+
+# ---- preparation
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS id FROM orders")
+def add_id(spark, sf_dir):
+    return prep.numbered(table(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"])
+
+
+def label_first():
+    return F.concat_ws(",", F.col("l_linenumber").cast("string"), F.format_string("%.12E", "l_quantity"), F.format_string("%.12E", "l_extendedprice"))
+
+
+@query("SELECT round(sum(l_quantity), 2) AS q, round(sum(l_extendedprice), 0) AS p FROM lineitem")
+def format_label_first(spark, sf_dir):
+    x = table(spark, sf_dir, "lineitem").select(prep.without_label(label_first()).alias("x"))
+    return x.agg(F.round(F.sum(F.get("x", F.lit(0))), 2).alias("q"), F.round(F.sum(F.round(F.get("x", F.lit(1)), 2)), 0).alias("p"))
+
+
+@query("SELECT sum(l_linenumber)::DOUBLE AS label, round(sum(l_quantity), 2) AS q FROM lineitem")
+def format_label_last(spark, sf_dir):
+    x = table(spark, sf_dir, "lineitem").select(prep.label_last(label_first()).alias("x"))
+    return x.agg(F.sum(F.element_at("x", -1)).alias("label"), F.round(F.sum(F.get("x", F.lit(0))), 2).alias("q"))
+
+
+@query("WITH v AS (SELECT DISTINCT value FROM (SELECT o_orderstatus AS value FROM orders UNION ALL SELECT o_orderpriority FROM orders)), c AS (SELECT value, row_number() OVER (ORDER BY value) AS code FROM v) SELECT o_orderkey, a.code AS o_orderstatus, b.code AS o_orderpriority FROM orders LEFT JOIN c a ON a.value = o_orderstatus LEFT JOIN c b ON b.value = o_orderpriority")
+def dict_encode(spark, sf_dir):
+    df = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    return prep.encoded(df, ["o_orderstatus", "o_orderpriority"])
+
+
+@query("SELECT value, count(*) AS n FROM (SELECT o_orderstatus AS value FROM orders UNION ALL SELECT o_orderpriority FROM orders) WHERE value IS NOT NULL GROUP BY value")
+def value_freq(spark, sf_dir):
+    return prep.value_counts(table(spark, sf_dir, "orders"), ["o_orderstatus", "o_orderpriority"])
+
+
+@query("""WITH r AS (SELECT user_id, movie_id, max(CASE WHEN isnan(rating) THEN 1e300 ELSE rating END) AS r FROM ratings WHERE movie_id BETWEEN 1 AND 500 GROUP BY 1, 2)
+SELECT row_number() OVER (ORDER BY user_id) - 1 AS row, user_id AS user, round(sum(coalesce(r, 0.01)) + 0.01 * (500 - count(*)), 4) AS total, count(*) FILTER (WHERE r IS NOT NULL) AS rated FROM r WHERE user_id IS NOT NULL GROUP BY user_id""")
+def ratings_dense(spark, sf_dir):
+    d = prep.dense_rows(table(spark, sf_dir, "ratings"), "user_id", "movie_id", "rating", 500)
+    rated = F.size(F.filter("v", lambda v: v != 0.01)).cast("long")
+    return d.select("row", "user", F.round(V.total(F.col("v")), 4).alias("total"), rated.alias("rated"))
+
+
+@query("SELECT o_orderkey, rn AS id, 'head' AS part FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS rn FROM orders) WHERE rn < 100 UNION ALL SELECT o_orderkey, NULL, 'tail' FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS rn FROM orders) WHERE rn >= 100")
+def split_at_n(spark, sf_dir):
+    head, tail = prep.split_at(table(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"], 100)
+    return head.withColumn("part", F.lit("head")).unionByName(tail.select("o_orderkey", F.lit(None).cast("long").alias("id"), F.lit("tail").alias("part")))
+
+
+@query("SELECT count(DISTINCT movie_id) AS n FROM ratings")
+def distinct_items(spark, sf_dir):
+    return prep.distinct_items(table(spark, sf_dir, "ratings"), "movie_id")
+
+
+@query("SELECT count(*) AS n FROM sample_lines")
+def line_count(spark, sf_dir):
+    return table(spark, sf_dir, "sample_lines").agg(F.count("*").alias("n"))
+
+
+@query()
+def random_points(spark, sf_dir):
+    return prep.random_points(spark, 10_000, 20)
+
+
+@query()
+def sparse_matrix(spark, sf_dir):
+    return prep.sparse_matrix(spark, 100, 100)
+
+
+@query()
+def random_variates(spark, sf_dir):
+    u = F.pmod(F.xxhash64("id"), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    kinds = {"uniform": (0, 11), "exponential": (1.5,), "weibull": (1.0, 2.0), "cauchy": (0.0, 1.0), "triangular": (0.0, 1.0, 3.0)}
+    return spark.range(10_000).select("id", *[prep.inverse_cdf(k, u, *p).alias(k) for k, p in kinds.items()])
+
+
+# ---- kernels
+
+DIST = "WITH p AS (SELECT vec_id AS id, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings), c AS (SELECT row_number() OVER (ORDER BY id) - 1 AS j, x AS c FROM p ORDER BY id LIMIT 3), d AS (SELECT id, j, list_distance(x, c) AS d FROM p CROSS JOIN c) "
+
+
+@query(DIST + "SELECT id, j, round(d, 6) AS d FROM d")
+def dist_matrix(spark, sf_dir):
+    e = embeddings(spark, sf_dir)
+    d = F.transform(V.matrix(models.first_points(e, 3)), lambda c: V.distance(F.col("x"), c))
+    return e.select("id", F.posexplode(d).alias("j", "d")).select("id", F.col("j").cast("long").alias("j"), F.round("d", 6).alias("d"))
+
+
+@query(DIST + "SELECT id, j::INT AS tag FROM d QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, j) = 1")
+def argmin_assign(spark, sf_dir):
+    e = embeddings(spark, sf_dir)
+    d = F.transform(V.matrix(models.first_points(e, 3)), lambda c: V.distance(F.col("x"), c))
+    return e.select("id", V.argmin(d).alias("tag"))
+
+
+GRID5, GRID16 = np.arange(1.0, 26).reshape(5, 5), np.arange(1.0, 257).reshape(16, 16)
+M5 = "m AS (SELECT i, j, (i * 5 + j + 1)::DOUBLE AS v FROM range(5) a(i), range(5) b(j))"
+
+
+def grid(spark, m: np.ndarray) -> DataFrame:
+    return spark.createDataFrame([(i, j, float(v)) for (i, j), v in np.ndenumerate(m)], "i long, j long, v double")
+
+
+@query(f"WITH {M5} SELECT o.i, o.j, sum(v) AS v FROM (SELECT i, j FROM range(7) a(i), range(7) b(j)) o JOIN m ON m.i BETWEEN o.i - 2 AND o.i AND m.j BETWEEN o.j - 2 AND o.j GROUP BY o.i, o.j")
+def conv_full(spark, sf_dir):
+    return grid(spark, grids.correlate_full(GRID5, np.ones((3, 3))))
+
+
+@query(f"WITH {M5} SELECT o.i, o.j, sum(v * (1 + (m.i - o.i) * 3 + m.j - o.j)) AS v FROM (SELECT i, j FROM range(3) a(i), range(3) b(j)) o JOIN m ON m.i BETWEEN o.i AND o.i + 2 AND m.j BETWEEN o.j AND o.j + 2 GROUP BY o.i, o.j")
+def conv_valid(spark, sf_dir):
+    return grid(spark, grids.correlate_valid(GRID5, np.arange(1.0, 10).reshape(3, 3)))
+
+
+@query(f"WITH {M5} SELECT 4 - i AS i, 4 - j AS j, v FROM m")
+def rot180(spark, sf_dir):
+    return grid(spark, grids.rot180(GRID5))
+
+
+@query("SELECT i // 2 AS i, j // 2 AS j, avg(i * 16 + j + 1) AS v FROM range(16) a(i), range(16) b(j) GROUP BY 1, 2")
+def mean_pool(spark, sf_dir):
+    return grid(spark, grids.mean_pool(GRID16, 2, 2))
+
+
+@query(f"WITH {M5} SELECT a.i, b.j, v FROM range(10) a(i), range(10) b(j) JOIN m ON m.i = a.i // 2 AND m.j = b.j // 2")
+def kronecker(spark, sf_dir):
+    return grid(spark, grids.kronecker(GRID5, 2, 2))
+
+
+@query(f"WITH {M5} SELECT i, j, (v - 1) * -j AS v FROM m")
+def binary_op(spark, sf_dir):
+    return grid(spark, grids.combine(GRID5, np.tile(np.arange(5.0), (5, 1)), np.multiply, lambda a: a - 1, lambda b: -b) + 0.0)
+
+
+@query("SELECT k AS label, round(-k * 0.1 + ln((SELECT sum(exp(x * 0.1)) FROM range(10) g(x))), 6) AS loss FROM range(10) t(k)")
+def softmax_loss(spark, sf_dir):
+    return spark.createDataFrame([(k, round(grids.softmax_loss(np.arange(10) * 0.1, k), 6)) for k in range(10)], "label long, loss double")
+
+
+# ---- clustering fits
+
+
+def trace(spark, result) -> DataFrame:
+    return result.metrics(spark).select("superstep", F.round("objective", 4).alias("objective"))
+
+
+def config(steps: int, sync=None, **more) -> loop.FitConfig:
+    return loop.FitConfig(steps, sync or loop.Concurrent(), **more)
+
+
+# speeds that make quotas of 40 and 125 points of a superstep at 500 points; in SQL the same numbers
+QUOTAS = [40, 125, 125, 125]
+
+
+def flexible() -> loop.Flexible:
+    return loop.Flexible(1.0, [float(q) for q in QUOTAS])
+
+
+def flexible_windows(steps: int) -> list[str | None]:
+    quota = "(CASE WHEN pos.task = 0 THEN 40 ELSE 125 END)"
+    return [None] + [f"((((pos.pos - {s} * {quota}) % pos.n) + pos.n) % pos.n < {quota} % pos.n OR {quota} >= pos.n)" for s in range(steps - 1)]
+
+
+BLOCKS = [None] + [f"pos.pos * 4 // pos.n = {b}" for b in range(4)]
+
+
+@query(trace_sql("kmeans", 3, [None] * 3, [1, 2, 3]))
+def kmeans_trace(spark, sf_dir):
+    return trace(spark, loop.fit(embeddings(spark, sf_dir), models.KMeans(3), config(3)))
+
+
+@query(fit_sql("kmeans", 3, [None] * 3) + "SELECT j::INT AS tag, count(*) AS n, round(sum(o), 4) AS err FROM t3 WHERE w = 1 GROUP BY j")
+def kmeans_final_k3_it3(spark, sf_dir):
+    e, m = embeddings(spark, sf_dir), models.KMeans(3)
+    d = m.distances(loop.fit(e, m, config(3)).used)
+    return e.select(V.argmin(d).alias("tag"), F.array_min(d).alias("d")).groupBy("tag").agg(F.count("*").alias("n"), F.round(F.sum("d"), 4).alias("err"))
+
+
+@query(fit_sql("kmeans", 3, [None]).replace(POINTS, POINTS + TASKS) + "SELECT task, j::INT AS tag, count(*) AS R, round(sum(list_sum(pos.x)), 4) AS X FROM t1 JOIN pos ON pos.id = t1.id WHERE w = 1 GROUP BY task, j")
+def kmeans_partials_by_task(spark, sf_dir):
+    e, m = tasked(spark, sf_dir), models.KMeans(3)
+    d = m.distances(m.init(e))
+    return e.select("task", V.argmin(d).alias("tag"), V.total(F.col("x")).alias("s")).groupBy("task", "tag").agg(F.count("*").alias("R"), F.round(F.sum("s"), 4).alias("X"))
+
+
+@query(trace_sql("kmeans", 3, BLOCKS, [1, 5]))
+def kmeans_block(spark, sf_dir):
+    return trace(spark, loop.fit(tasked(spark, sf_dir), models.KMeans(3), config(2, loop.Block(4))))
+
+
+@query(trace_sql("kmeans", 3, flexible_windows(3), [1, 2, 3]))
+def kmeans_fsp_vclock(spark, sf_dir):
+    return trace(spark, loop.fit(tasked(spark, sf_dir), models.KMeans(3), config(3, flexible())))
+
+
+@query(fit_sql("kmeans", 3, flexible_windows(3)) + "SELECT j::INT AS j, round(sum(w), 4) AS r FROM t3 GROUP BY j")
+def kmeans_delta_identity(spark, sf_dir):
+    """The merged aggregate is the sum of all last contributions."""
+    s = loop.fit(tasked(spark, sf_dir), models.KMeans(3), config(3, flexible())).state
+    return s.select(F.posexplode("w").alias("j", "w")).groupBy("j").agg(F.round(F.sum("w"), 4).alias("r"))
+
+
+@query(trace_sql("kmeans", 3, [None] * 3, [1, 2, 3]).replace("SELECT superstep::INT", "SELECT min(superstep)::INT").replace("AS superstep, objective FROM (", "AS superstep FROM (") + " WHERE objective < 500 OR superstep = 3")
+def kmeans_stop_iteration(spark, sf_dir):
+    r = loop.fit(embeddings(spark, sf_dir), models.KMeans(3), config(3, threshold=500.0))
+    return spark.createDataFrame([(r.history[-1]["superstep"],)], "superstep int")
+
+
+@query("SELECT j, round(j + 1.0, 6) AS c FROM range(3) g(j)")
+def fcm_init(spark, sf_dir):
+    p = models.FuzzyCMeans(3).init(embeddings(spark, sf_dir))
+    return spark.createDataFrame([(j, float(c[0])) for j, c in enumerate(p.centres)], "j long, c double")
+
+
+@query(fit_sql("fcm", 3, [None] * 2) + "SELECT id, j::INT AS j, round(w, 5) AS u FROM t2")
+def fcm_membership(spark, sf_dir):
+    e, m = embeddings(spark, sf_dir), models.FuzzyCMeans(3)
+    u, _ = m.project(loop.fit(e, m, config(2)).used)
+    return e.select("id", F.posexplode(u).alias("j", "u")).select("id", "j", F.round("u", 5).alias("u"))
+
+
+@query(trace_sql("fcm", 3, [None] * 3, [1, 2, 3]))
+def fcm_trace(spark, sf_dir):
+    return trace(spark, loop.fit(embeddings(spark, sf_dir), models.FuzzyCMeans(3), config(3)))
+
+
+@query(trace_sql("fcm", 3, flexible_windows(3), [1, 2, 3]))
+def fcm_fsp_vclock(spark, sf_dir):
+    return trace(spark, loop.fit(tasked(spark, sf_dir), models.FuzzyCMeans(3), config(3, flexible())))
+
+
+@query(fit_sql("gmm", 3, [None]) + "SELECT id, round(max(o), 5) AS log_density FROM t1 GROUP BY id")
+def gmm_density(spark, sf_dir):
+    e, m = embeddings(spark, sf_dir), models.GaussianMixture(3)
+    return e.select("id", F.round(m.project(m.init(e))[1], 5).alias("log_density"))
+
+
+@query(fit_sql("gmm", 3, [None]) + "SELECT id, j::INT AS j, round(w, 5) AS r FROM t1")
+def gmm_resp(spark, sf_dir):
+    e, m = embeddings(spark, sf_dir), models.GaussianMixture(3)
+    return e.select("id", F.posexplode(m.project(m.init(e))[0]).alias("j", "r")).select("id", "j", F.round("r", 5).alias("r"))
+
+
+@query(fit_sql("gmm", 3, [None]) + "SELECT j::INT AS j, round(p, 5) AS weight, round(list_sum(c), 4) AS mean, round(list_sum(v), 4) AS variance FROM c1")
+def gmm_mstep(spark, sf_dir):
+    p = loop.fit(embeddings(spark, sf_dir), models.GaussianMixture(3), config(1)).params
+    return spark.createDataFrame([(j, round(float(w), 5), round(float(c.sum()), 4), round(float(v.sum()), 4)) for j, (w, c, v) in enumerate(zip(p.weights, p.centres, p.variances))], "j int, weight double, mean double, variance double")
+
+
+@query(trace_sql("gmm", 3, [None] * 3, [1, 2, 3]))
+def gmm_trace(spark, sf_dir):
+    return trace(spark, loop.fit(embeddings(spark, sf_dir), models.GaussianMixture(3), config(3)))
+
+
+@query(trace_sql("gmm", 3, flexible_windows(3), [1, 2, 3]))
+def gmm_fsp_vclock(spark, sf_dir):
+    return trace(spark, loop.fit(tasked(spark, sf_dir), models.GaussianMixture(3), config(3, flexible())))
+
+
+# ---- gradient fits
+
+
+def returns(spark, sf_dir):
+    y = F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0)
+    return table(spark, sf_dir, "lineitem").select(F.array(F.col("l_quantity") / 50, F.col("l_discount") * 10, F.col("l_tax") * 10, y).alias("x"))
+
+
+def logreg_sql(steps: int) -> str:
+    parts = ["r AS (SELECT l_quantity / 50 AS a, l_discount * 10 AS b, l_tax * 10 AS c, CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END AS y FROM lineitem)", "t0 AS (SELECT 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS c)"]
+    for s in range(1, steps + 1):
+        parts.append(f"p{s} AS (SELECT r.*, 1 / (1 + exp(-(r.a * t.a + r.b * t.b + r.c * t.c))) AS p FROM r CROSS JOIN t{s - 1} t)")
+        parts.append(f"g{s} AS (SELECT avg((p - y) * a) AS a, avg((p - y) * b) AS b, avg((p - y) * c) AS c, sum(-(y * ln(p) + (1 - y) * ln(1 - p))) AS loss FROM p{s})")
+        parts.append(f"t{s} AS (SELECT t.a - 0.1 * g.a AS a, t.b - 0.1 * g.b AS b, t.c - 0.1 * g.c AS c FROM t{s - 1} t CROSS JOIN g{s} g)")
+    return "WITH " + ", ".join(parts) + " "
+
+
+@query(logreg_sql(5) + "SELECT round(a, 8) AS a, round(b, 8) AS b, round(c, 8) AS c FROM t5")
+def logreg_theta_it5(spark, sf_dir):
+    t = loop.fit(returns(spark, sf_dir), models.LogisticRegression(0.1), config(5)).params.theta
+    return spark.createDataFrame([tuple(round(float(v), 8) for v in t)], "a double, b double, c double")
+
+
+@query(logreg_sql(3) + " UNION ALL ".join(f"SELECT {s}::INT AS superstep, round(loss, 3) AS objective FROM g{s}" for s in (1, 2, 3)))
+def logreg_loss_trace(spark, sf_dir):
+    return trace(spark, loop.fit(returns(spark, sf_dir), models.LogisticRegression(0.1), config(3))).withColumn("objective", F.round("objective", 3))
+
+
+@query(logreg_sql(1) + "SELECT round(a, 8) AS a, round(b, 8) AS b, round(c, 8) AS c FROM g1")
+def logreg_gradient(spark, sf_dir):
+    m = models.LogisticRegression(0.1)
+    df = returns(spark, sf_dir)
+    g, _ = m.project(m.init(df))
+    return df.select(g.alias("g")).agg(*[F.round(F.avg(F.get("g", F.lit(i))), 8).alias(c) for i, c in enumerate("abc")])
+
+
+@query("SELECT l_returnflag, round(avg(1 / (1 + exp(-(l_quantity / 50 * 0.5 - l_discount * 10 * 0.25)))), 6) AS p FROM lineitem GROUP BY 1")
+def logreg_predict(spark, sf_dir):
+    x = F.array(F.col("l_quantity") / 50, F.col("l_discount") * 10)
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.round(F.avg(V.sigmoid(V.dot(x, V.vector([0.5, -0.25])))), 6).alias("p"))
+
+
+@query()
+def logreg_block(spark, sf_dir):
+    df = prep.tasks_by_position(returns(spark, sf_dir).withColumn("id", F.monotonically_increasing_id()), 4, ["id"])
+    return trace(spark, loop.fit(store(df), models.LogisticRegression(0.1), config(2, loop.Block(4))))
+
+
+NMF_H = np.array([[0.1 + ((i * 5 + j * 3) % 7) / 7 for j in range(4)] for i in range(2)])
+NMF_V = "v AS (SELECT s_suppkey AS id, g.i AS j, CASE g.i WHEN 0 THEN 1 + s_suppkey % 5 WHEN 1 THEN 1 + s_suppkey % 7 WHEN 2 THEN 1 + s_nationkey % 4 ELSE 1 + s_nationkey % 3 END::DOUBLE AS v FROM supplier, range(4) g(i)), w0 AS (SELECT s_suppkey AS id, r - 1 AS r, 0.1 + ((s_suppkey * 7 + r * 3) % 11) / 10.0::DOUBLE AS w FROM supplier, range(1, 3) g(r)), h0 AS (SELECT r, j, 0.1 + ((r * 5 + j * 3) % 7) / 7.0::DOUBLE AS h FROM range(2) a(r), range(4) b(j))"
+
+
+def nmf_rows(spark, sf_dir):
+    s = F.col("s_suppkey")
+    x = F.array(1 + s % 5, 1 + s % 7, 1 + F.col("s_nationkey") % 4, 1 + F.col("s_nationkey") % 3).cast("array<double>")
+    return models.nmf_start(table(spark, sf_dir, "supplier").select(s.alias("id"), x.alias("x")), 2, NMF_H)
+
+
+@query(f"WITH {NMF_V} SELECT round(sum((v - f) * (v - f)), 4) AS loss FROM v JOIN (SELECT id, j, sum(w * h) AS f FROM w0 JOIN h0 USING (r) GROUP BY id, j) USING (id, j)")
+def nmf_loss(spark, sf_dir):
+    return spark.createDataFrame([(round(models.nmf_loss(nmf_rows(spark, sf_dir), NMF_H), 4),)], "loss double")
+
+
+def nmf_sql(steps: int) -> str:
+    parts = [NMF_V]
+    for s in range(1, steps + 1):
+        a = s - 1
+        parts.append(f"x{s} AS (SELECT id, r, sum(v * h) AS n FROM v JOIN h{a} USING (j) GROUP BY id, r), hh{s} AS (SELECT a.r, b.r AS q, sum(a.h * b.h) AS m FROM h{a} a JOIN h{a} b USING (j) GROUP BY a.r, b.r), y{s} AS (SELECT id, q AS r, sum(w * m) AS d FROM w{a} w JOIN hh{s} USING (r) GROUP BY id, q), w{s} AS (SELECT id, r, w * n / d AS w FROM w{a} JOIN x{s} USING (id, r) JOIN y{s} USING (id, r))")
+        parts.append(f"wv{s} AS (SELECT r, j, sum(w * v) AS n FROM w{s} JOIN v USING (id) GROUP BY r, j), ww{s} AS (SELECT a.r, b.r AS q, sum(a.w * b.w) AS m FROM w{s} a JOIN w{s} b USING (id) GROUP BY a.r, b.r), wh{s} AS (SELECT q AS r, j, sum(m * h) AS d FROM ww{s} JOIN h{a} USING (r) GROUP BY q, j), h{s} AS (SELECT r, j, h * n / d AS h FROM h{a} JOIN wv{s} USING (r, j) JOIN wh{s} USING (r, j))")
+        parts.append(f"f{s} AS (SELECT sum((v - f) * (v - f)) AS loss FROM v JOIN (SELECT id, j, sum(w * h) AS f FROM w{s} JOIN h{s} USING (r) GROUP BY id, j) USING (id, j))")
+    return "WITH " + ", ".join(parts) + " " + " UNION ALL ".join(f"SELECT {s}::INT AS superstep, round(loss, 4) AS loss FROM f{s}" for s in range(1, steps + 1))
+
+
+@query(nmf_sql(3))
+def nmf_mu_it3(spark, sf_dir):
+    losses = models.nmf_multiplicative(nmf_rows(spark, sf_dir), NMF_H, 3)[2]
+    return spark.createDataFrame([(i, round(v, 4)) for i, v in enumerate(losses, 1)], "superstep int, loss double")
+
+
+@query()
+def nmf_gd_trace(spark, sf_dir):
+    losses = models.nmf_gradient(nmf_rows(spark, sf_dir), NMF_H, 3, rate=1e-4)[2]
+    return spark.createDataFrame([(i, round(v, 4)) for i, v in enumerate(losses, 1)], "superstep int, loss double")
+
+
+@query()
+def cnn_train_step(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    x = F.slice(F.flatten(F.array_repeat(F.col("embedding").cast("array<double>"), 13)), 1, 784)
+    history = cnn.train(e.select(x.alias("x"), "label"), 2)[1]
+    return spark.createDataFrame([(h["superstep"], round(float(h["loss"]), 6), float(h["accuracy"]), h["records"]) for h in history], "superstep int, loss double, accuracy double, records long")
+
+
+@query()
+def kmeans_wall_clock(spark, sf_dir):
+    e = embeddings(spark, sf_dir)
+    return barrier.kmeans_by_clock(e, models.first_points(e, 3), 3, 0.05, 2)
+
+
+# ---- metrics
+
+ONCE = "(SELECT * FROM task_reports QUALIFY row_number() OVER (PARTITION BY job_id, superstep, task_id ORDER BY reported_at DESC NULLS LAST, points_read DESC NULLS LAST, CASE WHEN isnan(task_agg) THEN 'inf'::DOUBLE ELSE task_agg END DESC NULLS LAST, run_ms DESC NULLS LAST, sync_ms DESC NULLS LAST) = 1)"
+
+
+@query(f"WITH s AS (SELECT job_id, superstep, sum(CASE WHEN task_agg IS NULL OR isnan(task_agg) THEN 0.0 ELSE task_agg END) AS o FROM {ONCE} GROUP BY 1, 2) SELECT job_id, superstep, round(o, 4) AS objective, round(sum(o) OVER w, 4) AS running, round(coalesce(lag(o) OVER w - o, 0), 4) AS progress FROM s WINDOW w AS (PARTITION BY job_id ORDER BY superstep)")
+def job_agg_history(spark, sf_dir):
+    h = metrics.objective_history(table(spark, sf_dir, "task_reports"))
+    return h.select("job_id", "superstep", *[F.round(c, 4).alias(c) for c in ("objective", "running", "progress")])
+
+
+@query(f"SELECT job_id, superstep, sync_ms AS median FROM (SELECT *, row_number() OVER (PARTITION BY job_id, superstep ORDER BY sync_ms) - 1 AS r, count(*) OVER (PARTITION BY job_id, superstep) AS n FROM {ONCE} WHERE sync_ms IS NOT NULL) WHERE r = n // 2")
+def median_sync(spark, sf_dir):
+    return metrics.upper_median(metrics.once(table(spark, sf_dir, "task_reports")), ["job_id", "superstep"], "sync_ms")
+
+
+@query(f"SELECT job_id, superstep, arg_min(task_id, (points_read, task_id)) AS slowest, arg_max(task_id, (points_read, -task_id)) AS fastest, min(points_read) AS least, max(points_read) AS most FROM {ONCE} WHERE points_read IS NOT NULL AND task_id IS NOT NULL GROUP BY 1, 2")
+def min_max_progress(spark, sf_dir):
+    return metrics.progress(table(spark, sf_dir, "task_reports"))
+
+
+@query("SELECT user_id, min(value) AS value FROM events WHERE user_id IS NOT NULL GROUP BY 1")
+def msg_combine_min(spark, sf_dir):
+    return metrics.combined_messages(table(spark, sf_dir, "events"), "user_id", "value", "min")
+
+
+@query("SELECT user_id, round(sum(value), 4) AS value FROM events WHERE user_id IS NOT NULL GROUP BY 1")
+def msg_combine_sum(spark, sf_dir):
+    return metrics.combined_messages(table(spark, sf_dir, "events"), "user_id", "value").withColumn("value", F.round("value", 4))
+
+
+@query("SELECT v::DOUBLE AS overhead, p::DOUBLE AS point, floor(300 * sqrt(v::DOUBLE / p)) AS size FROM (VALUES (4.0, 1.0), (9.0, 0.25), (2.0, 3.0)) t(v, p)")
+def block_size_formula(spark, sf_dir):
+    return spark.createDataFrame([(v, p, float(tuning.block_size(v, p))) for v, p in ((4.0, 1.0), (9.0, 0.25), (2.0, 3.0))], "overhead double, point double, size double")
+
+
+@query("SELECT s::INT AS superstep, s % 3 = 0 AS fixed FROM range(1, 10) g(s)")
+def checkpoint_policy(spark, sf_dir):
+    c = tuning.Checkpoints(3)
+    return spark.createDataFrame([(s, c.due(s)) for s in range(1, 10)], "superstep int, fixed boolean")
+
+
+@query("SELECT * FROM (VALUES (1, 500.0), (2, 250.0), (3, 125.0), (4, 187.5), (5, 187.5)) t(superstep, interval_ms)")
+def interval_tuner_trace(spark, sf_dir):
+    t = tuning.IntervalTuner()
+    return spark.createDataFrame([(s, t.step(s, 1000.0, p)) for s, p in ((1, 0.0), (2, 100.0), (3, 80.0), (4, 20.0), (5, 10.0))], "superstep int, interval_ms double")
+
+
+@query("SELECT count(*) AS n, round(sum(list_sum(list_transform(embedding, lambda v: v::DOUBLE))), 4) AS s FROM embeddings")
+def checkpoint_roundtrip(spark, sf_dir):
+    return store(cut(embeddings(spark, sf_dir))).agg(F.count("*").alias("n"), F.round(F.sum(V.total(F.col("x"))), 4).alias("s"))
