@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from paceline.llm.neighbours import DECIMALS, collapse
-from paceline.llm.shards import DIMENSIONS, complete, matrix, sampled_tree, scatter
+from paceline.llm.shards import DIMENSIONS, Tree, complete, matrix, sampled_tree, scatter
 from paceline.plans.lineage import cut, store
 
 LEAF_ROWS = 4_000
@@ -29,60 +29,60 @@ LEAF_ROWS = 4_000
 BLOCK = 512
 
 
-def similar(u: np.ndarray, radius: float) -> np.ndarray:
-    """The boolean matrix of similar vectors, themselves included."""
+def links(u: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    """The similar vectors of each one, itself included, in ascending order: those of i are
+    ``to[start[i]:start[i + 1]]``."""
     n = len(u)
     limit = np.round(radius * radius, DECIMALS)
     y = (u - u.mean(0)).astype(np.float32)
     sq = (y * y).sum(1)
     slack = np.float32(2e-5 * sq.max(initial=0) + 1e-5)
-    out = np.empty((n, n), bool)
+    one = np.ones((n, 1), np.float32)
+    a, b = np.hstack([-2 * y, one, sq[:, None]]), np.ascontiguousarray(np.hstack([y, sq[:, None], one]).T)
+    count, to = [np.zeros(1, np.int64)], []
     for lo in range(0, n, BLOCK):
-        d = y[lo : lo + BLOCK] @ y.T
-        d *= -2
-        d += sq[None]
-        d += sq[lo : lo + BLOCK, None]
-        near = d <= limit + slack
-        i, j = np.nonzero(near & (d >= limit - slack))
-        if len(i):
-            diff = u[lo + i] - u[j]
-            near[i, j] = np.round((diff * diff).sum(1), DECIMALS) <= limit
-        out[lo : lo + BLOCK] = near
-    np.fill_diagonal(out, True)
-    return out
-
-
-def pivots(near: np.ndarray, u: np.ndarray) -> np.ndarray:
-    """The pivot of each vector; rows must be in hash order."""
+        d = a[lo : lo + BLOCK] @ b
+        at = np.flatnonzero(d <= limit + slack)
+        i, j = np.divmod(at, n)
+        unsure = np.flatnonzero(d.ravel()[at] >= limit - slack)
+        if len(unsure):
+            diff = u[lo + i[unsure]] - u[j[unsure]]
+            keep = np.ones(len(at), bool)
+            keep[unsure] = (np.round((diff * diff).sum(1), DECIMALS) <= limit) | (lo + i[unsure] == j[unsure])
+            i, j = i[keep], j[keep]
+        count.append(np.bincount(i, minlength=len(d)))
+        to.append(j.astype(np.int32))
+    return np.cumsum(np.concatenate(count)), np.concatenate(to) if to else np.zeros(0, np.int32)
+
+
+def pivots(start: np.ndarray, to: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """The pivot of each vector; vectors must be in hash order."""
     n = len(u)
-    pivot = np.full(n, -1)
-    alive = np.arange(n)
-    while len(alive):
-        part = near if len(alive) == n else near[np.ix_(alive, alive)]
-        least = part.argmax(1)
-        chosen = np.flatnonzero(least == np.arange(len(alive)))
-        owner = part[:, chosen]
-        taken = owner.any(1)
-        pivot[alive[taken]] = alive[chosen[owner.argmax(1)[taken]]]
-        alive = alive[~taken]
+    pivot, alive = np.full(n, n, np.int64), np.ones(n, bool)
+    while alive.any():
+        least = np.minimum.reduceat(np.where(alive[to], to, n), start[:-1])
+        chosen = alive & (least == np.arange(n))
+        owner = np.minimum.reduceat(np.where(chosen[to], to, n), start[:-1])
+        taken = alive & (owner < n)
+        pivot[taken] = owner[taken]
+        alive &= ~taken
     # the closest of the similar pivots
-    heads = np.unique(pivot)
-    member, head = np.nonzero(near[:, heads])
-    diff = u[member] - u[heads[head]]
-    order = np.lexsort((heads[head], np.round((diff * diff).sum(1), DECIMALS), member))
+    is_head = pivot == np.arange(n)
+    member = np.repeat(np.arange(n), np.diff(start))[is_head[to]]
+    head = to[is_head[to]]
+    diff = u[member] - u[head]
+    order = np.lexsort((head, np.round((diff * diff).sum(1), DECIMALS), member))
     first = np.concatenate([[True], np.diff(member[order]) > 0])
-    pivot[member[order][first]] = heads[head[order][first]]
+    pivot[member[order][first]] = head[order][first]
     return pivot
 
 
-def merged(near: np.ndarray, pivot: np.ndarray) -> np.ndarray:
+def merged(start: np.ndarray, to: np.ndarray, pivot: np.ndarray) -> np.ndarray:
     """A label for each vector, equal for clusters joined by links: contraction to the least neighbour."""
-    heads, of = np.unique(pivot, return_inverse=True)
-    label = np.arange(len(heads))
+    label = np.arange(len(pivot))
     while True:
-        mine = label[of]
-        order = np.argsort(mine, kind="stable")
-        least = mine[order][near[:, order].argmax(1)]
+        mine = label[pivot]
+        least = np.minimum.reduceat(mine[to], start[:-1])
         new = label.copy()
         np.minimum.at(new, mine, least)  # of each label the least one next to it
         while not np.array_equal(new[new], new):
@@ -101,8 +101,11 @@ def _mix(ids: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(32))
 
 
-def _shard(table: pa.Table, key: str, dims: list[str], radius: float) -> pa.Table:
-    """(node, id, home, open): the local cluster of each row of a shard, named by its shard and least id."""
+def _shard(leaf: int, table: pa.Table, key: str, dims: list[str], radius: float, least: int, tree: Tree) -> pa.Table:
+    """(node, id, home, open, pivot, size, final, leaf): the local cluster of each row of a shard, named by
+    its least id, with its size. It is final if no row of it is open or visiting; final clusters of
+    fewer than ``least`` ids are left out, and so are clusters of visitors of one home only, whose links
+    that home has seen itself."""
     ids = table.column(key).to_numpy()
     home, is_open = (table.column(c).to_numpy() for c in ("home", "open"))
     order = np.lexsort((~home, ids))
@@ -110,24 +113,28 @@ def _shard(table: pa.Table, key: str, dims: list[str], radius: float) -> pa.Tabl
     ids, home, is_open = ids[order], home[order], is_open[order]
     x = matrix(table, dims)[order]
     first, inverse = collapse(x)
-    least = np.full(len(first), np.iinfo(np.int64).max)
-    np.minimum.at(least, inverse, ids)
-    by_hash = np.argsort(_mix(least), kind="stable")
+    lowest = np.full(len(first), np.iinfo(np.int64).max)
+    np.minimum.at(lowest, inverse, ids)
+    by_hash = np.argsort(_mix(lowest), kind="stable")
     place = np.empty(len(first), np.int64)
     place[by_hash] = np.arange(len(first))
     u = x[first[by_hash]]
-    near = similar(u, radius)
-    lonely = near.sum(1) == 1
-    label, pivot = np.arange(len(u)) + len(u), np.arange(len(u))
-    some = np.flatnonzero(~lonely)
-    if len(some):
-        part = near if len(some) == len(u) else near[np.ix_(some, some)]
-        p = pivots(part, u[some])
-        pivot[some], label[some] = some[p], merged(part, p)
-    row_label = label[place[inverse]]
-    name = np.full(2 * len(u), np.iinfo(np.int64).max)
-    np.minimum.at(name, row_label, ids)
-    return pa.table({"node": name[row_label], "id": ids, "home": home, "open": is_open, "pivot": least[by_hash][pivot[place[inverse]]]})
+    start, to = links(u, radius)
+    pivot = pivots(start, to, u)
+    label = merged(start, to, pivot)[place[inverse]]
+    name, unsure = np.full(len(u), np.iinfo(np.int64).max), np.zeros(len(u), bool)
+    np.minimum.at(name, label, ids)
+    np.logical_or.at(unsure, label, is_open | ~home)
+    size = np.bincount(label, minlength=len(u))
+    # the homes met in each cluster: least and largest
+    at = np.where(home, leaf, tree.home(x))
+    low, high, lived = np.full(len(u), tree.leaves), np.full(len(u), -1), np.zeros(len(u), bool)
+    np.minimum.at(low, label, at)
+    np.maximum.at(high, label, at)
+    np.logical_or.at(lived, label, home)
+    keep = np.where(unsure, lived | (low < high), size >= least)[label]
+    columns = {"node": name[label], "id": ids, "home": home, "open": is_open, "pivot": lowest[by_hash][pivot[place[inverse]]], "size": size[label], "final": ~unsure[label]}
+    return pa.table({c: v[keep] for c, v in columns.items()} | {"leaf": np.full(int(keep.sum()), leaf, np.int32)})
 
 
 def roots(edges: DataFrame) -> DataFrame:
@@ -154,24 +161,28 @@ def clusters(df: DataFrame, radius: float = 1.0, least: int = 1, key: str = "sam
     rows = complete(df, key, dims)
     tree = sampled_tree(rows, leaf_rows, key, dims)
     spread = scatter(rows, tree, radius, None, key, dims, lower_only=True)
-    local = spread.groupBy("leaf").applyInArrow(
-        lambda k, t: _shard(t, key, dims, radius).append_column("leaf", pa.array(np.full(len(np.unique(t.column(key).to_numpy())), k[0].as_py(), np.int32))),
-        "node long, id long, home boolean, open boolean, pivot long, leaf int",
+    shared = df.sparkSession.sparkContext.broadcast(tree)  # bounded by the sample
+    local = store(
+        spread.groupBy("leaf").applyInArrow(
+            lambda k, t: _shard(k[0].as_py(), t, key, dims, radius, least, shared.value),
+            "node long, id long, home boolean, open boolean, pivot long, size long, final boolean, leaf int",
+        )
     )
-    local = store(local)
+    final = local.where("final").select(F.col("id").alias(key), F.col("node").alias("cluster_id"), "size", "pivot")
     # an id that visits has a node in each shard where it was; its nodes are one cluster
     name = F.struct("node", "leaf")
-    shared = local.where("open or not home")
-    linked = shared.groupBy("id").agg(F.min(name).alias("b"), F.collect_set(name).alias("all")).where(F.size("all") > 1)
+    unsure = local.where("not final")
+    linked = unsure.where("open or not home").groupBy("id").agg(F.min(name).alias("b"), F.collect_set(name).alias("all")).where(F.size("all") > 1)
     edges = linked.select(F.explode("all").alias("a"), "b").where("a <> b").distinct()
     top = roots(edges).select(F.col("node.node").alias("node"), F.col("node.leaf").alias("leaf"), F.col("root"))
-    homes = local.where("home")
+    homes = unsure.where("home")
     # groups are pre-aggregated in each shard: one row for each node
     nodes = homes.groupBy("node", "leaf").agg(F.count("*").alias("n"), F.min("id").alias("first"))
     rooted = nodes.join(top, ["node", "leaf"], "left").withColumn("root", F.coalesce("root", name))
     sums = rooted.groupBy("root").agg(F.sum("n").alias("size"), F.min("first").alias("cluster_id")).where(F.col("size") >= least)
     named = rooted.select("node", "leaf", "root").join(sums, "root").drop("root")
-    return homes.join(named, ["node", "leaf"]).select(F.col("id").alias(key), "cluster_id", "size", "pivot")
+    rest = homes.select("node", "leaf", "id", "pivot").join(named, ["node", "leaf"]).select(F.col("id").alias(key), "cluster_id", "size", "pivot")
+    return final.unionByName(rest)
 
 
 def described(df: DataFrame, radius: float = 1.0, typical: int = 3, least: int = 1, key: str = "sample_id", dims: list[str] = DIMENSIONS) -> DataFrame:
