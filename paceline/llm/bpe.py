@@ -262,6 +262,12 @@ def encode(df: DataFrame, text: str = "text", path: str = DEFAULT_VOCAB, ids: st
     return df.withColumn(ids, F.flatten(of(words(F.col(text)))))
 
 
+def where_encoded(df: DataFrame, condition: Column) -> DataFrame:
+    """``df.where(condition)`` evaluated after the encoding. A plain filter on the ids would be pushed below
+    their projection, and every text would be encoded a second time for it; row marks prevent that."""
+    return df.withColumn("_mark", F.monotonically_increasing_id()).where(condition & (F.col("_mark") >= 0)).drop("_mark")
+
+
 def decode(ids: Column, path: str = DEFAULT_VOCAB) -> Column:
     """The text of token ids: their binary pieces, concatenated."""
     pieces = F.split(F.lit(",".join(p.hex() for p in load_vocab(path).pieces)), ",")

@@ -93,7 +93,8 @@ def permuted(i: Column, n: Column, key: Column) -> Column:
 def pack(coded: DataFrame, key: str, source: str, ids: str, block: int, seed: int) -> DataFrame:
     """(source, block, n_tokens, docs, ids): the token stream of each source in blocks. ``docs`` names
     the documents in a block with the number of their tokens."""
-    sized = coded.select(F.col(source).alias("source"), F.col(key).alias("doc"), F.col(ids).alias("ids"), F.size(ids).cast("long").alias("n")).where("n > 0 and source is not null")
+    sized = coded.select(F.col(source).alias("source"), F.col(key).alias("doc"), F.col(ids).alias("ids"), F.size(ids).cast("long").alias("n"))
+    sized = bpe.where_encoded(sized, (F.col("n") > 0) & F.col("source").isNotNull())
     order = F.xxhash64("source", "doc", F.xxhash64("ids"), F.lit(seed))
     sized = sized.withColumn("_o", order).withColumn("_b", F.pmod("_o", F.lit(BUCKETS)))
     sums = sized.groupBy("source", "_b").agg(F.sum("n").alias("s"))

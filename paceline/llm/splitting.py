@@ -60,7 +60,8 @@ def split_oversized(df: DataFrame, key: str = "doc_id", text: str = "text", limi
         raise ValueError("0 <= overlap < limit is needed, and a step below the chunk size")
     flags = bpe.numbers(int(not 0x80 <= (p[:1] or b" ")[0] < 0xC0) for p in bpe.load_vocab(path).pieces)
     rows = df.select(F.col(key).alias("_k"), F.xxhash64(F.col(text)).alias("_h"), F.col(text).alias("_t")).where(F.octet_length("_t") > limit)
-    coded = bpe.encode(rows, "_t", path, ids="_w", by_word=True).withColumn("ids", F.flatten("_w")).where(F.size("ids") > limit)
+    coded = bpe.encode(rows, "_t", path, ids="_w", by_word=True).withColumn("ids", F.flatten("_w"))
+    coded = bpe.where_encoded(coded, F.size("ids") > limit)
     coded = coded.withColumn("_l", bpe.let(flags, lambda f: _levels(F.col("words"), F.col("_w"), f)))
     coded = cut(coded.select("_k", "_h", "ids", "_l").dropDuplicates(["_k", "_h"]))
 
