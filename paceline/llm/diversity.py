@@ -128,7 +128,7 @@ def leaf_entries(rows: DataFrame, dims: list[str], entries: int = ENTRIES) -> Da
             f.add(matrix(batch, dims))
         yield from f.table(TaskContext.get().partitionId()).to_batches()
 
-    def merge(key, table: pa.Table) -> pa.Table:
+    def merge(key, table):
         f = Features(entries, max(table.column("threshold").to_pylist()))
         f.add(np.array(table.column("c").to_pylist()), table.column("n").to_numpy())
         return f.table(key[0].as_py())
