@@ -327,7 +327,7 @@ def kmeans_block(spark, sf_dir):
 
 
 @query(trace_sql("kmeans", 3, flexible_windows(3), [1, 2, 3]))
-def kmeans_fsp_vclock(spark, sf_dir):
+def kmeans_flexible_vclock(spark, sf_dir):
     return trace(spark, loop.fit(tasked(spark, sf_dir), models.KMeans(3), config(3, flexible())))
 
 
@@ -363,7 +363,7 @@ def fcm_trace(spark, sf_dir):
 
 
 @query(trace_sql("fcm", 3, flexible_windows(3), [1, 2, 3]))
-def fcm_fsp_vclock(spark, sf_dir):
+def fcm_flexible_vclock(spark, sf_dir):
     return trace(spark, loop.fit(tasked(spark, sf_dir), models.FuzzyCMeans(3), config(3, flexible())))
 
 
@@ -391,7 +391,7 @@ def gmm_trace(spark, sf_dir):
 
 
 @query(trace_sql("gmm", 3, flexible_windows(3), [1, 2, 3]))
-def gmm_fsp_vclock(spark, sf_dir):
+def gmm_flexible_vclock(spark, sf_dir):
     return trace(spark, loop.fit(tasked(spark, sf_dir), models.GaussianMixture(3), config(3, flexible())))
 
 
