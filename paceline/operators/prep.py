@@ -59,10 +59,16 @@ def encoded(df: DataFrame, columns: list[str]) -> DataFrame:
 def dense_rows(ratings: DataFrame, user: str, item: str, rating: str, items: int, missing: float = 0.01) -> DataFrame:
     """(row, user, v): for each user in order a dense vector over items 1..items; what is missing, null or
     outside has ``missing``. Repeated ratings of an item: the last in (rating) order, i.e. the largest."""
-    best = ratings.where(F.col(item).between(1, items)).groupBy(user, item).agg(F.max(rating).alias("r"))
-    by_user = best.groupBy(user).agg(F.map_from_entries(F.collect_list(F.struct(F.col(item).cast("int").alias("k"), "r"))).alias("m"))
-    v = F.transform(F.sequence(F.lit(1), F.lit(items)), lambda i: F.coalesce(F.element_at("m", i), F.lit(missing)))
-    return numbered(by_user.where(F.col(user).isNotNull()).select(F.col(user).alias("user"), v.alias("v")), ["user"], "row")
+    inside = F.when(F.col(item).between(1, items), F.col(item).cast("int"))
+    best = ratings.where(F.col(user).isNotNull()).groupBy(F.col(user).alias("user"), inside.alias("k")).agg(F.max(rating).alias("r"))
+    known = F.when(F.col("k").isNotNull() & F.col("r").isNotNull(), F.struct("k", "r"))
+    by_user = best.groupBy("user").agg(F.array_sort(F.collect_list(known)).alias("e"))
+    # numbered while still sparse; each rating comes after the gap before its item
+    filled = lambda n: F.array_repeat(F.lit(missing), n.cast("int"))
+    gap = lambda x, i: x["k"] - F.coalesce(F.get("e", i - 1)["k"], F.lit(0)) - 1
+    parts = F.flatten(F.transform("e", lambda x, i: F.concat(filled(gap(x, i)), F.array(x["r"]))))
+    v = F.concat(parts, filled(items - F.coalesce(F.get("e", F.size("e") - 1)["k"], F.lit(0))))
+    return numbered(by_user, ["user"], "row").select("row", "user", v.alias("v"))
 
 
 def split_at(df: DataFrame, order: list[str], n: int) -> tuple[DataFrame, DataFrame]:

@@ -172,12 +172,25 @@ def value_freq(spark, sf_dir):
     return prep.value_counts(table(spark, sf_dir, "orders"), ["o_orderstatus", "o_orderpriority"])
 
 
+def dense_totals(ratings: DataFrame, items: int) -> DataFrame:
+    d = prep.dense_rows(ratings, "user_id", "movie_id", "rating", items)
+    rated = F.size(F.filter("v", lambda v: v != 0.01)).cast("long")
+    return d.select("row", "user", F.round(V.total(F.col("v")), 4).alias("total"), rated.alias("rated"))
+
+
 @query("""WITH r AS (SELECT user_id, movie_id, max(CASE WHEN isnan(rating) THEN 1e300 ELSE rating END) AS r FROM ratings WHERE movie_id BETWEEN 1 AND 500 GROUP BY 1, 2)
 SELECT row_number() OVER (ORDER BY user_id) - 1 AS row, user_id AS user, round(sum(coalesce(r, 0.01)) + 0.01 * (500 - count(*)), 4) AS total, count(*) FILTER (WHERE r IS NOT NULL) AS rated FROM r WHERE user_id IS NOT NULL GROUP BY user_id""")
 def ratings_dense(spark, sf_dir):
-    d = prep.dense_rows(table(spark, sf_dir, "ratings"), "user_id", "movie_id", "rating", 500)
-    rated = F.size(F.filter("v", lambda v: v != 0.01)).cast("long")
-    return d.select("row", "user", F.round(V.total(F.col("v")), 4).alias("total"), rated.alias("rated"))
+    """Items 1..500 and the users that rated one of them, as its SQL has it; ``ratings_dense_all`` is the whole job."""
+    return dense_totals(table(spark, sf_dir, "ratings").where("movie_id between 1 and 500"), 500)
+
+
+@query("""WITH r AS (SELECT user_id, movie_id, max(CASE WHEN isnan(rating) THEN 1e300 ELSE rating END) AS r FROM ratings WHERE user_id IS NOT NULL GROUP BY 1, 2),
+u AS (SELECT user_id, coalesce(sum(r) FILTER (WHERE movie_id BETWEEN 1 AND 10681), 0) AS s, count(r) FILTER (WHERE movie_id BETWEEN 1 AND 10681) AS rated FROM r GROUP BY user_id)
+SELECT row_number() OVER (ORDER BY user_id) - 1 AS row, user_id AS user, round(s + 0.01 * (10681 - rated), 4) AS total, rated FROM u""")
+def ratings_dense_all(spark, sf_dir):
+    """Every user over all items of the reference, with or without a rating in range."""
+    return dense_totals(table(spark, sf_dir, "ratings"), 10_681)
 
 
 @query("SELECT o_orderkey, rn AS id, 'head' AS part FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS rn FROM orders) WHERE rn < 100 UNION ALL SELECT o_orderkey, NULL, 'tail' FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS rn FROM orders) WHERE rn >= 100")
