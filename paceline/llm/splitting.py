@@ -18,8 +18,6 @@ whose first token lies inside a character begins its text with the next whole ch
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -84,9 +82,9 @@ def split_oversized(df: DataFrame, key: str = "doc_id", text: str = "text", limi
     # only cuts that are some cut's successor, or the first one, can be reached
     image = linked.select("_k", "_h", F.col("next").alias("pos")).distinct()
     nodes = cut(linked.join(image, ["_k", "_h", "pos"], "left_semi").unionByName(linked.where(F.col("pos") == overlap)).distinct())
-    longest = coded.agg(F.max(F.size("ids"))).first()[0] or 0
     jumps, reached, size = nodes, nodes.where(F.col("pos") == overlap).select("_k", "_h", "pos", F.lit(0).alias("n")), 1
-    for _ in range(math.ceil(math.log2(2 * longest / step + 4))):
+    # once no jump is left every chain has been followed to its end, however many cuts it has
+    while not jumps.isEmpty():
         new = reached.join(jumps, ["_k", "_h", "pos"]).select("_k", "_h", F.col("next").alias("pos"), (F.col("n") + size).alias("n"))
         reached = cut(reached.unionByName(new))
         far = jumps.select("_k", "_h", F.col("pos").alias("next"), F.col("next").alias("far"))

@@ -48,6 +48,20 @@ def test_split_rules(spark, library):
     assert splitting.split_oversized(df.limit(0)).count() == 0
 
 
+def test_split_reaches_the_end_at_three_cuts_a_step(spark, library):
+    rng, lines = np.random.default_rng(1), []
+    for i in range(24):
+        line = f"{i},"
+        while len(library([line + "\n"])[0]) < 55:
+            line += "QXZJKVWB"[rng.integers(8)]
+        lines.append(line + "\n")
+    text = "".join(lines)
+    got = splitting.split_oversized(spark.createDataFrame([(1, text)], "doc_id long, text string"), limit=64, overlap=16).toPandas()
+    n = len(library([text])[0])
+    assert len(got) > 64 and (got.start_token + got.n_tokens).max() == n
+    assert sorted(got.piece_no) == list(range(1, len(got) + 1))
+
+
 def test_mixture_shares_and_caps(spark):
     rows = [(i, "alpha beta gamma " * (i % 5), "a" if i % 3 else "b") for i in range(120)] + [(500, "x y z", None), (501, None, "a"), (502, "rest", "unlisted")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
