@@ -7,6 +7,7 @@
 2. ``plan`` gives each source its number of blocks. Without a given total it is the largest one at
    which every source that has tokens meets its target; with a given total, sources that would need
    more repeats than allowed are held at their cap and the rest share what is missing in proportion.
+   The total ``SOURCES`` is the tokens of all sources that may take part, so no scarce one sets it.
 3. The blocks are dealt to output shards by multinomial draws without replacement (multivariate
    hypergeometric), so that the counts of all shards add up exactly to the plan.
 4. The j-th slot of a source takes block perm(j mod N) of its repeat j div N, where perm is a
@@ -30,6 +31,7 @@ from paceline.llm import bpe
 from paceline.plans.lineage import cut
 
 BUCKETS = 1024
+SOURCES = "sources"
 
 
 def plan(tokens: np.ndarray, shares: np.ndarray, repeats: np.ndarray, total: float | None = None) -> np.ndarray:
@@ -114,7 +116,7 @@ def pack(coded: DataFrame, key: str, source: str, ids: str, block: int, seed: in
     )
 
 
-def mixture(df: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", block: int = 256, shard_blocks: int = 4096, total_tokens: float | None = None, seed: int = 7, path: str = bpe.DEFAULT_VOCAB) -> DataFrame:
+def mixture(df: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", block: int = 256, shard_blocks: int = 4096, total_tokens: float | str | None = None, seed: int = 7, path: str = bpe.DEFAULT_VOCAB) -> DataFrame:
     """The mixture, a row for each slot: (shard, slot, source, block, repeat, n_tokens, docs, ids).
 
     ``targets`` (source, target_share, max_repeats) is a small table: one row for each source, read to
@@ -126,7 +128,8 @@ def mixture(df: DataFrame, targets: DataFrame, key: str = "doc_id", text: str =
     share = np.array([r.share if r.share and math.isfinite(r.share) and r.share > 0 else 0.0 for r in rows])
     repeats = np.array([max(0, r.repeats or 0) for r in rows])
     tokens, count = (np.array([size.get(r.source, (0, 0))[i] for r in rows], dtype=np.int64) for i in (0, 1))
-    take = plan(tokens.astype(float), share, repeats, total_tokens)
+    total = float(tokens[(share > 0) & (repeats > 0)].sum()) if total_tokens == SOURCES else total_tokens
+    take = plan(tokens.astype(float), share, repeats, total)
     slots = largest_remainders(take * np.divide(count, tokens, out=np.zeros(len(rows)), where=tokens > 0), count * repeats)
     dealt = deal(slots, shard_blocks, seed)
     before = np.cumsum(dealt, axis=0) - dealt

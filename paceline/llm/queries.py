@@ -50,7 +50,8 @@ def p6_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixture(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "mix_targets"))
+    """As many tokens as the listed sources have; a scarce source stays at its max_repeats."""
+    return mixing.mixture(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "mix_targets"), total_tokens=mixing.SOURCES)
 
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:

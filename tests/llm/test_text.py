@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from paceline.llm import bpe, mixing, splitting
+from paceline.llm import bpe, mixing, queries, splitting
 
 pytestmark = pytest.mark.skipif(not os.path.exists(bpe.DEFAULT_VOCAB), reason="no tokenizer files")
 
@@ -75,6 +75,19 @@ def test_mixture_shares_and_caps(spark):
     assert mixing.mixture(df.limit(0), targets).count() == 0
 
 
+def test_scarce_source_does_not_shrink_the_registered_mixture(spark, library, tmp_path):
+    texts = {"a": "alpha beta gamma " * 20, "b": "one two three " * 20, "c": "only this"}
+    rows = [(i, texts[s], s) for i, s in enumerate(["a"] * 60 + ["b"] * 60 + ["c"])]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    targets = [("a", 0.35, 1), ("b", 0.35, 1), ("c", 0.3, 4), ("none", 0.1, 2)]
+    spark.createDataFrame(targets, "source string, target_share double, max_repeats int").write.parquet(f"{tmp_path}/mix_targets.parquet")
+    s = {r.source: r for r in queries.p7_shares(spark, str(tmp_path)).collect()}
+    n = dict(zip(texts, (len(x) for x in library(texts.values()))))
+    assert s["c"].repeats == 4 and s["c"].tokens == 4 * n["c"] and 0 < s["c"].share < 0.3
+    assert sum(r.tokens for r in s.values()) == pytest.approx(60 * (n["a"] + n["b"]) + n["c"], abs=512)
+    assert s["a"].repeats == s["b"].repeats == 1 and s["none"].tokens == 0
+
+
 def test_plan_of_a_mixture():
     p = mixing.plan(np.array([100.0, 100.0]), np.array([0.9, 0.1]), np.array([1, 1]), total=150)
     assert p.tolist() == [100, 50]
