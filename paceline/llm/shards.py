@@ -127,10 +127,16 @@ def sampled_tree(df: DataFrame, leaf_rows: int, key: str, dims: list[str], seed:
     """The tree for the complete vectors ``df``: fitted on a hash sample of at most about SAMPLE rows."""
     n = max(1, df.count())
     share = min(1.0, SAMPLE / n)
-    chosen = df.where(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30))).select(*dims).limit(2 * SAMPLE)
+    chosen = df.where(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30))).select(F.col(key).alias("_key"), *dims).limit(2 * SAMPLE)
     rows = chosen.toArrow()
-    x = np.stack([c.to_numpy() for c in rows.columns], 1) if rows.num_rows else np.zeros((0, len(dims)))
-    return fit_tree(x, max(1, -(-n // leaf_rows)))
+    x = np.stack([rows[c].to_numpy() for c in dims], 1) if rows.num_rows else np.zeros((0, len(dims)))
+    tree = fit_tree(x, max(1, -(-n // leaf_rows)))
+    if rows.num_rows:
+        # one row for each id, so that repeated deliveries of an id don't count as neighbours in _reach
+        x = x[np.unique(rows["_key"].to_numpy(), return_index=True)[1]]
+        home = tree.home(x)
+        tree.sample = [x[home == leaf] for leaf in range(tree.leaves)]
+    return tree
 
 
 def matrix(batch: pa.RecordBatch | pa.Table, dims: list[str]) -> np.ndarray:

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from paceline.llm import clusters, diversity, neighbours, sampling
+from paceline.llm import clusters, diversity, neighbours, sampling, shards
 from paceline.llm.shards import DIMENSIONS, fit_tree
 
 NAN, INF = float("nan"), float("inf")
@@ -88,3 +88,12 @@ def test_empty_tables_and_equal_vectors(spark):
     assert neighbours.nearest_pairs(same, 5, 1.0).count() == 36
     assert {r.cluster_id for r in clusters.clusters(same).collect()} == {0}
     assert len(fit_tree(np.ones((500, 12)), 8).box_low) == 1
+
+
+def test_repeated_deliveries_do_not_shrink_the_reach(spark):
+    rows = [(i, float(i)) for i in range(1000)] + [(500, 500.0)] * 20
+    df = spark.createDataFrame(rows, "id long, a double")
+    tree = shards.sampled_tree(df, 100, "id", ["a"])
+    x = np.array([[500.0], [501.0]])
+    # five other ids of each lie within 3
+    assert tree.leaves > 1 and shards._reach(x, tree.home(x), tree, 5, np.inf).min() >= 3
