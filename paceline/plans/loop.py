@@ -101,7 +101,7 @@ def fit(points: DataFrame, model: Model, config: FitConfig) -> FitResult:
         cursors[:] = [(c + a) % n for c, a, n in zip(cursors, q, sizes)]
         return [w]
 
-    used = p
+    used, archives, recovery_s = p, [], 0.0
     for s in range(1, config.max_supersteps + 1):
         began, objective, seen = time.monotonic(), 0.0, 0
         for w in windows(s):
@@ -126,8 +126,13 @@ def fit(points: DataFrame, model: Model, config: FitConfig) -> FitResult:
                 seen = sums["n"]
             p = model.finalise(sums, p)
         history.append({"superstep": s, "objective": objective, "seconds": time.monotonic() - began, "points": seen})
-        if config.checkpoint.due(s) and state is not None:
+        # what a failure would cost now: the supersteps since the last checkpoint, less the time of writing it
+        recovery_s += history[-1]["seconds"]
+        if state is not None and config.checkpoint.due(s, sum(archives) / max(1, len(archives)), recovery_s):
+            began = time.monotonic()
             state = store(state)
+            archives.append(time.monotonic() - began)
+            recovery_s = -archives[-1]
         if config.threshold is not None and stops(s, config.max_supersteps, objective, config.threshold, model.mean_objective):
             break
     return FitResult(p, used, history, state)

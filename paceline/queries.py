@@ -550,6 +550,18 @@ def checkpoint_policy(spark, sf_dir):
     return spark.createDataFrame([(s, c.due(s)) for s in range(1, 10)], "superstep int, fixed boolean")
 
 
+@query("SELECT * FROM (VALUES (1, false), (2, false), (3, true), (4, false), (5, false), (6, false), (7, true), (8, false), (9, false)) t(superstep, dynamic)")
+def checkpoint_policy_dynamic(spark, sf_dir):
+    """Supersteps of 1 s and archives of 2 s: the second checkpoint waits until recovery costs as much."""
+    c, rows, archive, recovery = tuning.Checkpoints(3, "dynamic"), [], 0.0, 0.0
+    for s in range(1, 10):
+        recovery += 1.0
+        rows.append((s, c.due(s, archive, recovery)))
+        if rows[-1][1]:
+            archive, recovery = 2.0, -2.0
+    return spark.createDataFrame(rows, "superstep int, dynamic boolean")
+
+
 @query("SELECT * FROM (VALUES (1, 500.0), (2, 250.0), (3, 125.0), (4, 187.5), (5, 187.5)) t(superstep, interval_ms)")
 def interval_tuner_trace(spark, sf_dir):
     t = tuning.IntervalTuner()

@@ -91,3 +91,18 @@ def test_nmf_loss_falls(spark):
     assert all(a >= b for a, b in zip(losses, losses[1:]))
     losses = models.nmf_gradient(models.nmf_start(df, 2, h), h, 3, rate=1e-4)[2]
     assert losses[0] > losses[-1]
+
+
+def test_dynamic_checkpoints_get_their_costs(data, monkeypatch):
+    _, df = data
+    seen = []
+
+    class Seen(loop.Checkpoints):
+        def due(self, superstep, archive_s=0.0, recovery_s=0.0):
+            seen.append((archive_s, recovery_s))
+            return super().due(superstep, archive_s, recovery_s)
+
+    clock = iter(range(10**6))
+    monkeypatch.setattr(loop.time, "monotonic", lambda: float(next(clock)))
+    loop.fit(df, models.KMeans(3), loop.FitConfig(4, loop.Block(1), checkpoint=Seen(1, "dynamic")))
+    assert seen == [(0.0, 1.0), (1.0, 0.0), (1.0, 1.0), (1.0, 0.0)]
