@@ -1,15 +1,21 @@
 """Byte-level BPE as Spark column expressions (no Python on the rows).
 
 The vocabulary is read from a public tokenizer file whose path is a parameter. Its merges become a
-literal rank map: a row-displacement table in two flat literal arrays, so that one lookup of a pair
-is two array reads. A word is folded with higher-order functions: the array of its byte tokens and
-the array of its pair ranks are carried along, and every step replaces the leftmost pair of least
-rank (a whole run of it when both halves are equal).
-
-Frequent words are folded once: ``frequent_words`` counts all distinct words of the corpus, keeps
-the ``MAX_WORDS`` most frequent (a fixed bound) with their ids, and they become a second literal
-table that is probed by hash inside the row. All other words are folded where they stand. So the
-encoding itself needs no shuffle; only the counts of distinct words are shuffled, after partial
+literal rank map: a row-displacement table in two flat arrays, so that one lookup of a pair is two
+array reads. A word is folded with higher-order functions: the array of its byte tokens and the array
+of its pair ranks are carried along, and every step replaces the leftmost pair of least rank (a whole
+run of it when both halves are equal; all its places at once where there are ``BULK`` or more).
+
+The literals are compact arrays without a text form, which the driver would hold with every plan.
+
+A word is folded in segments: it is cut before a character when no token of the vocabulary holds the
+end of the character before it and its first byte (``segment_pattern``), for no merge can cross that
+place. So unbroken runs of most scripts fall into single characters.
+
+Frequent words are folded once: ``frequent_words`` counts all distinct words of the corpus and their
+segments, keeps the ``MAX_WORDS`` most frequent (a fixed bound) with their ids, and they become a
+second literal table that is probed by hash inside the row. All others are folded where they stand. So
+the encoding itself needs no shuffle; only the counts of distinct words are shuffled, after partial
 aggregation.
 
 Nulls and empty texts have the empty list of ids. Special-token strings are ordinary text.
@@ -23,8 +29,8 @@ import os
 from dataclasses import dataclass
 
 import numpy as np
-import xxhash
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DEFAULT_VOCAB = os.environ.get("PACELINE_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
@@ -33,6 +39,12 @@ DEFAULT_VOCAB = os.environ.get("PACELINE_TOKENIZER", "/opt/tokenizers/byte_bpe_5
 MAX_WORDS = 32_768
 MAX_WORD_CHARS = 32
 
+#: Slots of the literal table for each of its words: of two words in one slot the more frequent stays.
+SLOTS = 8
+
+#: From so many places of the least rank on, all are merged in one step.
+BULK = 64
+
 #: A rank above every token id: "this pair does not merge".
 NO_MERGE = 1 << 30
 
@@ -117,14 +129,51 @@ def _displace(rows: dict[int, list[tuple[int, int]]], n: int) -> tuple[list[int]
     return offset.tolist(), merges[: top + 1].tolist()
 
 
-def numbers(values, kind: str = "int") -> Column:
-    """A literal array of numbers, folded once by the optimizer."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+def literal(columns: dict[str, pa.Array]) -> Column:
+    """A struct literal of one-row columns. Its arrays are taken from a row in Spark's own compact layout: array
+    functions of PySpark would box every number, and each plan would hold the numbers as text."""
+    spark = SparkSession.active()
+    one = spark.createDataFrame(pa.table(columns))._jdf
+    row, types, jvm = one.queryExecution().executedPlan().executeCollect()[0], one.schema().fields(), spark._jvm
+    make = lambda i: jvm.org.apache.spark.sql.catalyst.expressions.Literal(row.getArray(i).copy(), types[i].dataType())
+    return F.struct(*(Column(jvm.org.apache.spark.sql.classic.ExpressionUtils.column(make(i))).alias(c) for i, c in enumerate(columns)))
+
+
+def array(values, kind: pa.DataType = pa.int32()) -> pa.Array:
+    """One array value from a list."""
+    return pa.array([values], pa.list_(kind))
 
 
 def tables(vocab: Vocab) -> Column:
     """The rank map as one literal; it is bound once in an expression, so that the plan holds it once."""
-    return F.struct(numbers(vocab.offset).alias("offset"), numbers(vocab.merges, "long").alias("merges"), numbers(vocab.byte_ids).alias("bytes"))
+    return literal({"offset": array(vocab.offset), "merges": array(vocab.merges, pa.int64()), "bytes": array(vocab.byte_ids)})
+
+
+@functools.lru_cache(maxsize=4)
+def segment_pattern(path: str = DEFAULT_VOCAB) -> str:
+    """The pattern of a segment: characters up to the next place that no token of the vocabulary crosses."""
+    before: dict[int, set[str]] = {lead: set() for lead in range(0xC2, 0xF5)}
+    open_ = set()  # lead bytes that follow the end of an unknown character in some token
+    for piece in load_vocab(path).pieces:
+        for i in range(1, len(piece)):
+            if piece[i] in before and 0x80 <= piece[i - 1] < 0xC0:
+                j = i - 1
+                while j >= 0 and 0x80 <= piece[j] < 0xC0:
+                    j -= 1
+                try:
+                    before[piece[i]].add(piece[max(j, 0) : i].decode())
+                except UnicodeDecodeError:
+                    open_.add(piece[i])
+    spans: dict[frozenset, list[str]] = {}
+    for lead, chars in before.items():
+        more = 1 if lead < 0xE0 else 2 if lead < 0xF0 else 3
+        low = (lead & (0x3F >> more)) << 6 * more
+        span = rf"\x{{{max(low, (0, 0x80, 0x800, 0x10000)[more]):x}}}-\x{{{min(low + (1 << 6 * more) - 1, 0x10FFFF):x}}}"
+        if lead not in open_:
+            spans.setdefault(frozenset(chars), []).append(span)
+    escape = lambda chars: "".join(rf"\x{{{ord(c):x}}}" for c in sorted(chars))
+    cut = "|".join(rf"(?=[{''.join(s)}])(?<=[^\x00-\x7F{escape(chars)}])" for chars, s in spans.items())
+    return rf"[\s\S](?:(?!{cut})[\s\S])*+" if cut else r"[\s\S]++"
 
 
 def let(value: Column, body) -> Column:
@@ -167,6 +216,10 @@ def fold(word: Column, table: Column) -> Column:
     def step(s: Column, _: Column) -> Column:
         t, r = s["t"], s["r"]
 
+        def everywhere(m: Column) -> Column:
+            taken = F.transform(t, lambda x, i: F.when(F.get(r, i) == m, m).when((i > 0) & (F.get(r, i - 1) == m), -1).otherwise(x))
+            return let(F.filter(taken, lambda x: x >= 0), start)
+
         def merged(b: Column) -> Column:
             p, run = b["p"], b["run"]
             head, tail = F.slice(t, 1, p - 1), F.slice(t, p + 2 * run, F.size(t))
@@ -185,7 +238,9 @@ def fold(word: Column, table: Column) -> Column:
                 equal = F.get(t, p - 1) == F.get(t, p)
                 same = let(F.array_position(F.transform(F.slice(r, p, F.size(r)), lambda x: x == m), F.lit(False)).cast("int"), lambda i: F.when(i == 0, F.size(r) - p + 1).otherwise(i - 1))
                 run = F.when(equal, F.floor((same + 1) / 2).cast("int")).otherwise(F.lit(1))
-                return let(F.struct(m.alias("m"), p.alias("p"), run.alias("run")), merged)
+                one = let(F.struct(m.alias("m"), p.alias("p"), run.alias("run")), merged)
+                many = (F.size(r) >= BULK) & ~equal
+                return F.when(F.when(many, F.size(r) - F.size(F.array_remove(r, m)) >= BULK).otherwise(False), everywhere(m)).otherwise(one)
 
             return F.when(m == none, s).otherwise(let(F.array_position(r, m).cast("int"), at))
 
@@ -198,68 +253,57 @@ def fold(word: Column, table: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.octet_length(word)), let(tokens, start), step, lambda s: s["t"])
 
 
-def frequent_words(df: DataFrame, text: str, vocab: Vocab, limit: int = MAX_WORDS) -> list[tuple[str, list[int]]]:
-    """The most frequent words of the whole corpus with their ids: at most ``limit`` rows come to the driver."""
-    counted = (
-        df.select(F.explode(words(F.col(text))).alias("word"))
-        .groupBy("word").count()
-        .where((F.col("count") > 1) & (F.length("word") <= MAX_WORD_CHARS) & ~F.contains("word", F.lit("\n")))
-        .orderBy(F.desc("count"), "word").limit(limit)
-    )
-    return [(r.word, list(r.ids)) for r in counted.select("word", let(tables(vocab), lambda t: fold(F.col("word"), t)).alias("ids")).collect()]
+def segments(word: Column, path: str = DEFAULT_VOCAB) -> Column:
+    return F.regexp_extract_all(word, F.lit(segment_pattern(path)), F.lit(0))
 
 
-def _hash(word: str) -> int:
-    """Spark's xxhash64 of a string, without its sign."""
-    return xxhash.xxh64_intdigest(word.encode(), seed=42)
+def frequent_words(df: DataFrame, text: str, path: str = DEFAULT_VOCAB, limit: int = MAX_WORDS) -> pa.Table:
+    """(word, hash, ids): the most frequent words of the whole corpus, and segments by the number of the distinct
+    words that have them, with their ids: at most ``limit`` rows come to the driver."""
+    counted = df.select(F.explode(words(F.col(text))).alias("word")).groupBy("word").count()
+    cut = F.when(F.octet_length("word") > F.length("word"), segments(F.col("word"), path)).otherwise(F.array().cast("array<string>"))
+    whole = F.array(F.struct(F.col("word").alias("word"), F.col("count").alias("n")))
+    parts = F.when(F.size("cut") > 1, F.transform("cut", lambda s: F.struct(s.alias("word"), F.lit(1).cast("long").alias("n"))))
+    both = counted.withColumn("cut", cut).select(F.explode(F.concat(whole, F.coalesce(parts, F.slice(whole, 1, 0)))).alias("e")).select("e.*")
+    best = both.groupBy("word").agg(F.sum("n").alias("n")).where((F.col("n") > 1) & (F.length("word") <= MAX_WORD_CHARS)).orderBy(F.desc("n"), "word").limit(limit)
+    return best.select("word", "n", F.xxhash64("word").alias("hash"), let(tables(load_vocab(path)), lambda t: fold(F.col("word"), t)).alias("ids")).toArrow()
 
 
-def lexicon(table: list[tuple[str, list[int]]]) -> Column:
-    """The frequent words as one literal hash table: the words of bucket b are names[first[b]:first[b + 1]],
-    the ids of word i are ids[span[i]:span[i + 1]]."""
-    buckets = 1 << len(table).bit_length()
-    order = sorted(range(len(table)), key=lambda i: _hash(table[i][0]) % buckets)
-    sizes = np.bincount([_hash(table[i][0]) % buckets for i in order], minlength=buckets)
-    return F.struct(
-        F.split(F.lit("\n".join(table[i][0] for i in order)), "\n").alias("names"),
-        numbers(np.cumsum([0, *sizes])).alias("first"),
-        numbers(np.cumsum([0, *(len(table[i][1]) for i in order)])).alias("span"),
-        numbers(x for i in order for x in table[i][1]).alias("ids"),
-        F.lit(buckets - 1).alias("mask"),
-    )
+def lexicon(found: pa.Table) -> Column:
+    """The frequent words as one literal hash table: the word of slot h is names[h], its ids are ids[h]."""
+    slots = SLOTS << max(0, found.num_rows - 1).bit_length()
+    order = np.lexsort((found.column("hash").to_numpy(), -found.column("n").to_numpy()))
+    at, first = np.unique(found.column("hash").to_numpy()[order] & (slots - 1), return_index=True)
+    row = np.full(slots, -1, np.int64)
+    row[at] = order[first]
+    take = pa.array(row, mask=row < 0)
+    names, ids = (found.column(c).combine_chunks().take(take) for c in ("word", "ids"))
+    one = lambda a: pa.ListArray.from_arrays(pa.array([0, slots], pa.int32()), a)
+    return literal({"names": one(names), "ids": one(ids), "mask": array([slots - 1], pa.int64())})
 
 
-def known(word: Column, words: Column) -> Column:
+def known(word: Column, lex: Column) -> Column:
     """The ids of a word of the lexicon; null for any other word."""
-
-    def probe(lo: Column, n: Column) -> Column:
-        p = F.array_position(F.slice(words["names"], lo + 1, n), word).cast("int")
-        return let(p, lambda p: F.when(p > 0, F.slice(words["ids"], F.get(words["span"], lo + p - 1) + 1, F.get(words["span"], lo + p) - F.get(words["span"], lo + p - 1))))
-
-    def bucket(b: Column) -> Column:
-        return let(F.struct(F.get(words["first"], b).alias("lo"), F.get(words["first"], b + 1).alias("hi")), lambda x: F.when(x["hi"] > x["lo"], probe(x["lo"], x["hi"] - x["lo"])))
-
-    return let(F.xxhash64(word).bitwiseAND(words["mask"].cast("long")).cast("int"), bucket)
+    return let(F.xxhash64(word).bitwiseAND(F.get(lex["mask"], F.lit(0))).cast("int"), lambda h: F.when(F.get(lex["names"], h) == word, F.get(lex["ids"], h)))
 
 
 def encode(df: DataFrame, text: str = "text", path: str = DEFAULT_VOCAB, ids: str = "ids", by_word: bool = False) -> DataFrame:
     """``df`` with the token ids of column ``text`` in a new column (of its words, if ``by_word``: an
     array of arrays beside the column ``words``). Null and empty texts have an empty list."""
-    vocab = load_vocab(path)
-    found = frequent_words(df, text, vocab)
+    found = frequent_words(df, text, path)
 
-    def of(all_words: Column) -> Column:
-        def each(t: Column) -> Column:
-            def one(lex: Column | None):
-                return F.transform(all_words, lambda w: fold(w, t) if lex is None else F.coalesce(known(w, lex), fold(w, t)))
+    def of(b: Column) -> Column:
+        t, lex = b["t"], b["lex"]
 
-            return let(lexicon(found), one) if found else one(None)
+        def rare(w: Column) -> Column:
+            parts = F.flatten(F.transform(segments(w, path), lambda s: F.coalesce(known(s, lex), fold(s, t))))
+            return F.when(F.octet_length(w) == F.length(w), fold(w, t)).otherwise(parts)
 
-        return let(tables(vocab), each)
+        every = F.transform(F.col("words") if by_word else words(F.col(text)), lambda w: F.coalesce(known(w, lex), rare(w)))
+        return every if by_word else F.flatten(every)
 
-    if by_word:
-        return df.withColumn("words", words(F.col(text))).withColumn(ids, of(F.col("words")))
-    return df.withColumn(ids, F.flatten(of(words(F.col(text)))))
+    rows = df.withColumn("words", words(F.col(text))) if by_word else df
+    return rows.withColumn(ids, let(F.struct(tables(load_vocab(path)).alias("t"), lexicon(found).alias("lex")), of))
 
 
 def where_encoded(df: DataFrame, condition: Column) -> DataFrame:
@@ -268,7 +312,12 @@ def where_encoded(df: DataFrame, condition: Column) -> DataFrame:
     return df.withColumn("_mark", F.monotonically_increasing_id()).where(condition & (F.col("_mark") >= 0)).drop("_mark")
 
 
+def joined(ids: Column, path: str = DEFAULT_VOCAB) -> Column:
+    """The bytes of token ids, concatenated, as hexadecimal digits."""
+    every = literal({"p": array(load_vocab(path).pieces, pa.binary())})
+    return let(every, lambda t: F.array_join(F.transform(ids, lambda i: F.hex(F.get(t["p"], i))), ""))
+
+
 def decode(ids: Column, path: str = DEFAULT_VOCAB) -> Column:
     """The text of token ids: their binary pieces, concatenated."""
-    pieces = F.split(F.lit(",".join(p.hex() for p in load_vocab(path).pieces)), ",")
-    return F.decode(F.unhex(let(pieces, lambda t: F.array_join(F.transform(ids, lambda i: F.get(t, i)), ""))), "UTF-8")
+    return F.decode(F.unhex(joined(ids, path)), "UTF-8")

@@ -1,18 +1,21 @@
 """Mixing of sources to target shares, with sizes in tokens.
 
 1. Every source's texts are laid out as one token stream in pseudorandom order (by hash) and packed
-   into blocks of a fixed length; the last block of a source may be shorter. Stream positions come
-   from a prefix sum over hash buckets and a running sum inside each bucket, so no source is ever
-   gathered in one task.
+   into the least number of blocks that hold at most ``block`` tokens each; the blocks of a source are
+   equally long up to one token, so that each slot of a source is worth the same. Stream positions come
+   from a prefix sum over hash buckets (as many as the rows ask for) and a running sum inside each
+   bucket, so no source is ever gathered in one task.
 2. ``plan`` gives each source its number of blocks. Without a given total it is the largest one at
    which every source that has tokens meets its target; with a given total, sources that would need
    more repeats than allowed are held at their cap and the rest share what is missing in proportion.
    The total ``SOURCES`` is the tokens of all sources that may take part, so no scarce one sets it.
-3. The blocks are dealt to output shards by multinomial draws without replacement (multivariate
-   hypergeometric), so that the counts of all shards add up exactly to the plan.
+3. The slots of all sources stand one source after another; one pseudorandom permutation of them deals
+   them to output shards of ``shard_blocks`` slots. So the counts of the sources in the shards are
+   multinomial draws without replacement, and add up exactly to the plan; no task and no driver ever
+   holds a table of them.
 4. The j-th slot of a source takes block perm(j mod N) of its repeat j div N, where perm is a
-   pseudorandom permutation (a Feistel network with cycle walking) of the N blocks, another one for
-   each repeat. Slots and blocks are joined by source and block index.
+   pseudorandom permutation of the N blocks, another one for each repeat. Slots and blocks are joined
+   by source and block index.
 
 Documents of null or unlisted sources and targets without documents take no part; a null or zero
 share or repeat count counts as 0. Texts that are null or empty have no tokens.
@@ -23,15 +26,18 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from paceline.llm import bpe
-from paceline.plans.lineage import cut
+from paceline.plans.lineage import store
 
-BUCKETS = 1024
+#: Rows that a hash bucket of one source is meant to hold.
+BUCKET_ROWS = 2048
 SOURCES = "sources"
+#: Steps of a cycle walk: the domain has at most 2 sqrt(n) + 1 places more than n.
+WALK = 24
 
 
 def plan(tokens: np.ndarray, shares: np.ndarray, repeats: np.ndarray, total: float | None = None) -> np.ndarray:
@@ -63,51 +69,55 @@ def largest_remainders(amounts: np.ndarray, most: np.ndarray) -> np.ndarray:
     return whole
 
 
-def deal(counts: np.ndarray, shard_blocks: int, seed: int) -> np.ndarray:
-    """A row of source counts for each output shard; the columns add up to ``counts``."""
-    rng, left, rows = np.random.default_rng(seed), counts.astype(np.int64).copy(), []
-    while left.sum() > 0:
-        rows.append(rng.multivariate_hypergeometric(left, min(shard_blocks, int(left.sum())), method="marginals"))
-        left -= rows[-1]
-    return np.array(rows).reshape(len(rows), len(counts))
-
-
 def permuted(i: Column, n: Column, key: Column) -> Column:
-    """Position of i in a pseudorandom permutation of 0..n-1 (Feistel rounds, cycle walking)."""
-    half = F.ceil(F.log2(F.greatest(n, F.lit(2)).cast("double")) / 2 + 1e-9).cast("int")
+    """Position of i in a pseudorandom permutation of 0..n-1: rounds that shift the column of a square grid of
+    just more than n places by a hash of the row and the other way round; a place beyond n goes on."""
+    side = F.ceil(F.sqrt(F.greatest(n, F.lit(1)).cast("double"))).cast("long")
 
     def bound(p: Column) -> Column:
-        mask = F.expr("1L") * (F.pow(F.lit(2), p["half"]).cast("long") - 1)
+        def rounds(place: Column) -> Column:
+            def shifted(s: Column, r: Column) -> Column:
+                return F.struct(s["b"].alias("a"), F.pmod(s["a"] + F.pmod(F.xxhash64(s["b"], r, p["key"]), p["side"]), p["side"]).alias("b"))
+
+            start = F.struct(F.floor(place / p["side"]).cast("long").alias("a"), F.pmod(place, p["side"]).alias("b"))
+            return F.aggregate(F.array(*map(F.lit, range(4))), start, shifted, lambda s: s["a"] * p["side"] + s["b"])
 
-        def rounds(x: Column) -> Column:
-            high, low = F.floor(x / (mask + 1)).cast("long"), x.bitwiseAND(mask)
-            pair = F.struct(high.alias("a"), low.alias("b"))
-            out = F.aggregate(F.array(*map(F.lit, range(4))), pair, lambda s, r: F.struct(s["b"].alias("a"), s["a"].bitwiseXOR(F.xxhash64(s["b"], r, p["key"]).bitwiseAND(mask)).alias("b")))
-            return bpe.let(out, lambda s: s["a"] * (mask + 1) + s["b"])
+        # up to n = 81 the walk is sure to end; beyond, each step ends it with a chance of 4 in 5 at least
+        return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), rounds(p["i"]), lambda x, _: F.when(x < p["n"], x).otherwise(rounds(x)))
 
-        # the domain is less than four times 4n; a walk of 256 steps stays outside with a chance below 1e-30
-        walk = F.aggregate(F.sequence(F.lit(1), F.lit(256)), rounds(p["i"]), lambda x, _: F.when(x < p["n"], x).otherwise(rounds(x)))
-        return walk
+    return bpe.let(F.struct(i.cast("long").alias("i"), n.cast("long").alias("n"), side.alias("side"), key.alias("key")), bound)
 
-    return bpe.let(F.struct(i.cast("long").alias("i"), n.cast("long").alias("n"), half.alias("half"), key.alias("key")), bound)
 
+def _div(a: Column, b: Column) -> Column:
+    """Whole-number quotient; the dividend is made a multiple first, so that rounding can't reach the next one."""
+    return F.round((a - F.pmod(a, b)) / b).cast("long")
 
-def pack(coded: DataFrame, key: str, source: str, ids: str, block: int, seed: int) -> DataFrame:
-    """(source, block, n_tokens, docs, ids): the token stream of each source in blocks. ``docs`` names
-    the documents in a block with the number of their tokens."""
-    sized = coded.select(F.col(source).alias("source"), F.col(key).alias("doc"), F.col(ids).alias("ids"), F.size(ids).cast("long").alias("n"))
-    sized = bpe.where_encoded(sized, (F.col("n") > 0) & F.col("source").isNotNull())
+
+def pack(coded: DataFrame, block: int, seed: int) -> DataFrame:
+    """(source, block, n_tokens, docs, ids) of rows (source, doc, n, ids): the token stream of each source in
+    blocks. ``docs`` names the documents in a block with the number of their tokens."""
+    buckets = 1 << max(0, -(-coded.count() // BUCKET_ROWS) - 1).bit_length()
     order = F.xxhash64("source", "doc", F.xxhash64("ids"), F.lit(seed))
-    sized = sized.withColumn("_o", order).withColumn("_b", F.pmod("_o", F.lit(BUCKETS)))
-    sums = sized.groupBy("source", "_b").agg(F.sum("n").alias("s"))
-    # at most BUCKETS rows for each source
-    before = sums.withColumn("before", F.sum("s").over(W.partitionBy("source").orderBy("_b")) - F.col("s")).drop("s")
+    placed = coded.withColumn("_o", order).withColumn("_b", F.pmod("_o", F.lit(buckets)))
+    # two levels of prefix sums: buckets in groups of about the square root of their number
+    group = F.floor(F.col("_b") / (1 << (buckets.bit_length() // 2)))
+    sums = placed.groupBy("source", "_b").agg(F.sum("n").alias("s")).withColumn("_g", group)
+    groups = sums.groupBy("source", "_g").agg(F.sum("s").alias("g"))
+    whole = F.sum("g").over(W.partitionBy("source"))
+    groups = groups.select("source", "_g", whole.alias("whole"), (F.sum("g").over(W.partitionBy("source").orderBy("_g")) - F.col("g")).alias("first"))
+    inner = F.sum("s").over(W.partitionBy("source", "_g").orderBy("_b")) - F.col("s")
+    before = sums.withColumn("inner", inner).join(groups, ["source", "_g"]).select("source", "_b", "whole", (F.col("first") + F.col("inner")).alias("before"))
     running = F.sum("n").over(W.partitionBy("source", "_b").orderBy("_o", "doc").rowsBetween(W.unboundedPreceding, -1))
-    placed = sized.withColumn("inside", F.coalesce(running, F.lit(0))).join(before, ["source", "_b"]).withColumn("at", F.col("before") + F.col("inside"))
-    first, last = F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("n") - 1) / block)
-    parts = placed.select("source", "doc", "at", "n", "ids", F.explode(F.sequence(first, last)).alias("block"))
-    start = F.greatest(F.lit(0), F.col("block") * block - F.col("at"))
-    end = F.least(F.col("n"), (F.col("block") + 1) * block - F.col("at"))
+    placed = placed.withColumn("inside", F.coalesce(running, F.lit(0))).join(before, ["source", "_b"]).withColumn("at", F.col("before") + F.col("inside"))
+    # the first ``long`` of k blocks have base + 1 tokens, the others base
+    k = F.ceil(F.col("whole") / block).cast("long")
+    base, long = F.expr("whole div k"), F.expr("whole % k")
+    of = lambda t: F.when(t < long * (base + 1), _div(t, base + 1)).otherwise(long + _div(t - long * (base + 1), base))
+    start_of = lambda b: b * base + F.least(b, long)
+    first, last = of(F.col("at")), of(F.col("at") + F.col("n") - 1)
+    parts = placed.withColumn("k", k).select("source", "doc", "at", "n", "ids", "whole", "k", F.explode(F.sequence(first, last)).alias("block"))
+    start = F.greatest(F.lit(0), start_of(F.col("block")) - F.col("at"))
+    end = F.least(F.col("n"), start_of(F.col("block") + 1) - F.col("at"))
     part = F.struct((F.col("at") + start).alias("at"), F.col("doc"), (end - start).cast("int").alias("n"), F.slice("ids", (start + 1).cast("int"), (end - start).cast("int")).alias("ids"))
     blocks = parts.select("source", "block", part.alias("part")).groupBy("source", "block").agg(F.array_sort(F.collect_list("part")).alias("parts"))
     return blocks.select(
@@ -122,8 +132,10 @@ def mixture(df: DataFrame, targets: DataFrame, key: str = "doc_id", text: str =
     ``targets`` (source, target_share, max_repeats) is a small table: one row for each source, read to
     the driver with the block count of each source; nothing else is."""
     rows = targets.groupBy("source").agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("repeats")).where("source is not null").orderBy("source").collect()
-    wanted = df.where(F.col(source).isin([r.source for r in rows]) & (F.octet_length(text) > 0)).select(key, source, text)
-    blocks = cut(pack(bpe.encode(wanted, text, path), key, source, "ids", block, seed))
+    wanted = df.where(F.col(source).isin([r.source for r in rows]) & (F.octet_length(text) > 0)).select(F.col(source).alias("source"), F.col(key).alias("doc"), F.col(text).alias("_t"))
+    # every text is encoded once: sizes, positions and blocks are made from what is stored
+    coded = store(bpe.encode(wanted, "_t", path).select("source", "doc", F.size("ids").cast("long").alias("n"), "ids"))
+    blocks = store(pack(coded.where("n > 0"), block, seed))
     size = {r.source: (r.tokens, r.blocks) for r in blocks.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("blocks")).collect()}
     share = np.array([r.share if r.share and math.isfinite(r.share) and r.share > 0 else 0.0 for r in rows])
     repeats = np.array([max(0, r.repeats or 0) for r in rows])
@@ -131,17 +143,24 @@ def mixture(df: DataFrame, targets: DataFrame, key: str = "doc_id", text: str =
     total = float(tokens[(share > 0) & (repeats > 0)].sum()) if total_tokens == SOURCES else total_tokens
     take = plan(tokens.astype(float), share, repeats, total)
     slots = largest_remainders(take * np.divide(count, tokens, out=np.zeros(len(rows)), where=tokens > 0), count * repeats)
-    dealt = deal(slots, shard_blocks, seed)
-    before = np.cumsum(dealt, axis=0) - dealt
-    spark = df.sparkSession
-    counts = [(int(s), r.source, int(before[s, i]), int(dealt[s, i]), int(count[i])) for s in range(len(dealt)) for i, r in enumerate(rows) if dealt[s, i]]
-    runs = spark.createDataFrame(counts, "shard long, source string, first long, n long, blocks long")
-    each = runs.select("shard", "source", "blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("j"))
-    repeat = F.floor(F.col("j") / F.col("blocks"))
-    each = each.select("shard", "source", "j", repeat.alias("repeat"), permuted(F.col("j") % F.col("blocks"), F.col("blocks"), F.xxhash64("source", repeat, F.lit(seed))).alias("block"))
-    # at most shard_blocks rows for each shard
-    each = each.withColumn("slot", F.row_number().over(W.partitionBy("shard").orderBy(F.xxhash64("source", "j", F.lit(seed)), "source", "j")) - 1)
-    return each.join(blocks, ["source", "block"]).select("shard", "slot", "source", "block", "repeat", "n_tokens", "docs", "ids")
+    return slots_of(df.sparkSession, [r.source for r in rows], slots, count, shard_blocks, seed).join(blocks, ["source", "block"]).select("shard", "slot", "source", "block", "repeat", "n_tokens", "docs", "ids")
+
+
+def slots_of(spark: SparkSession, names: list[str], slots: np.ndarray, blocks: np.ndarray, shard_blocks: int, seed: int) -> DataFrame:
+    """(shard, slot, source, block, repeat) of every slot: ``slots`` of them for each source."""
+    used = np.flatnonzero(slots)
+    if not len(used):
+        return spark.createDataFrame([], "shard long, slot long, source string, block long, repeat long")
+    total, first = int(slots.sum()), np.cumsum(slots[used]) - slots[used]
+    rows = [F.struct(F.lit(int(f)).alias("first"), F.lit(names[i]).alias("source"), F.lit(int(blocks[i])).alias("blocks")) for f, i in zip(first, used)]  # one for each source
+    drawn = spark.range(total).select("id", permuted(F.col("id"), F.lit(total), F.lit(seed).cast("long")).alias("at"))
+    drawn = drawn.withColumn("of", F.element_at(F.filter(F.array(*rows), lambda r: r["first"] <= F.col("at")), -1))
+    j, n = F.col("at") - F.col("of.first"), F.col("of.blocks")
+    repeat = F.floor(j / n)
+    return drawn.select(
+        F.floor(F.col("id") / shard_blocks).alias("shard"), F.pmod("id", F.lit(shard_blocks)).alias("slot"), F.col("of.source").alias("source"),
+        permuted(F.pmod(j, n), n, F.xxhash64("of.source", repeat, F.lit(seed))).alias("block"), repeat.alias("repeat"),
+    )
 
 
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:

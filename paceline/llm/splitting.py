@@ -1,16 +1,15 @@
 """Splitting of oversized texts at natural boundaries (pointer doubling).
 
-Every token of an oversized text is a row (key, position, level of the break before it). A running
-maximum gives the farthest break of each level up to a position; the row ``step`` positions ahead
-therefore holds the farthest legal successor of a cut. Windows run over chunks of positions, each
-with a margin of the next one, so a text of any length is spread over many tasks. The table of
-successors is then squared: after k rounds it jumps 2**k cuts, and the set of reached cuts, which
-starts at the first one, doubles with each round.
+The encoding gives each token of an oversized text the level of the break before it. A table holds for
+every boundary its farthest legal successor within reach; then the table of successors is squared:
+after k rounds it jumps 2**k cuts, and the set of reached cuts, which starts at the first one, doubles
+with each round, until every jump ends. Both run over the arrays of whole Arrow batches of texts, so
+no token is ever a shuffled row.
 
 Let n be the limit and o the overlap. A piece holds the tokens [c - o, next(c)) of a cut c, the first
 piece begins at 0 (the virtual cut o), and next(c) is at most c + n - o. It is the end of the text if
 within reach, else the farthest line or sentence end, else the farthest word start, else the farthest
-token that starts a character.
+token that starts a character, else (with steps shorter than a character) the farthest token.
 
 Null, empty and small texts give no piece rows. Rows with equal key and text are split once. A piece
 whose first token lies inside a character begins its text with the next whole character.
@@ -18,15 +17,14 @@ whose first token lies inside a character begins its text with the next whole ch
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from paceline.llm import bpe
-from paceline.plans.lineage import cut
-
-#: Positions in one chunk of a window; must be larger than any step.
-CHUNK = 8192
 
 # Marks that end a sentence when white space follows, and those that need none.
 SENTENCE_END = r"[.!?…؟۔।॥։።]+[\"'”’»)\]]*$"
@@ -50,60 +48,73 @@ def _levels(all_words: Column, ids: Column, starts_char: Column) -> Column:
     return F.flatten(F.transform(ids, of_word))
 
 
+def successors(level: np.ndarray, end: np.ndarray, step: int) -> np.ndarray:
+    """The farthest legal successor of each boundary. ``level`` holds the texts one after another, each with its
+    end as a last entry; ``end`` is the place of that entry."""
+    n = len(level)
+    at = np.arange(n)
+    size = -(-n // step) * step + step
+    best = np.zeros(size, np.int64)
+    best[:n] = np.where(level > NONE, level.astype(np.int64) * size + at, 0)
+    best = best.reshape(-1, step)
+    upto, onward = np.maximum.accumulate(best, 1).ravel(), np.maximum.accumulate(best[:, ::-1], 1)[:, ::-1].ravel()
+    far = np.maximum(onward[at + 1], upto[at + step])
+    return np.where(end - at <= step, end, np.where(far > 0, far % size, at + step))
+
+
+def reached(succ: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The cuts on the way from ``first`` to ``last``, which are their own successors: by squaring the table."""
+    on, jump = np.zeros(len(succ), bool), succ
+    on[first] = True
+    while (jump[first] != last).any():
+        on[jump[on]] = True
+        jump = jump[jump]
+    on[jump[on]] = True
+    on[last] = False
+    return np.flatnonzero(on)
+
+
 def split_oversized(df: DataFrame, key: str = "doc_id", text: str = "text", limit: int = 512, overlap: int = 32, path: str = bpe.DEFAULT_VOCAB) -> DataFrame:
     """The pieces of every text above ``limit`` tokens: (key, piece_no from 1, start_token, n_tokens,
     cut, ids); ``cut`` tells at what the piece ends. See the module for the rule."""
     step = limit - overlap
-    if not 0 <= overlap < limit or step >= CHUNK:
-        raise ValueError("0 <= overlap < limit is needed, and a step below the chunk size")
-    flags = bpe.numbers(int(not 0x80 <= (p[:1] or b" ")[0] < 0xC0) for p in bpe.load_vocab(path).pieces)
+    if not 0 <= overlap < limit:
+        raise ValueError("0 <= overlap < limit is needed")
+    starts = [int(not 0x80 <= (p[:1] or b" ")[0] < 0xC0) for p in bpe.load_vocab(path).pieces]
     rows = df.select(F.col(key).alias("_k"), F.xxhash64(F.col(text)).alias("_h"), F.col(text).alias("_t")).where(F.octet_length("_t") > limit)
     coded = bpe.encode(rows, "_t", path, ids="_w", by_word=True).withColumn("ids", F.flatten("_w"))
     coded = bpe.where_encoded(coded, F.size("ids") > limit)
-    coded = coded.withColumn("_l", bpe.let(flags, lambda f: _levels(F.col("words"), F.col("_w"), f)))
-    coded = cut(coded.select("_k", "_h", "ids", "_l").dropDuplicates(["_k", "_h"]))
-
-    chunk = F.floor(F.col("pos") / CHUNK)
-    tokens = coded.select("_k", "_h", F.posexplode(F.concat("_l", F.array(F.lit(END)))).alias("pos", "level"))
-    homes = F.when((F.col("pos") % CHUNK < step) & (F.col("pos") >= CHUNK), F.array(chunk, chunk - 1)).otherwise(F.array(chunk))
-    spread = tokens.withColumn("chunk", F.explode(homes))
-    w = W.partitionBy("_k", "_h", "chunk").orderBy("pos")
-    upto = w.rowsBetween(W.unboundedPreceding, W.currentRow)
-    reach = {k: F.max(F.when(F.col("level") >= k, F.col("pos"))).over(upto) for k in (NATURAL, WORD, CHARACTER)}
-    spread = spread.withColumns({f"b{k}": c for k, c in reach.items()}).withColumn("last", F.max(F.when(F.col("level") == END, F.col("pos"))).over(W.partitionBy("_k", "_h", "chunk")))
-    ahead = {k: F.lead(f"b{k}", step).over(w) for k in reach}
-    at = F.col("pos")
-    nxt = F.when(F.col("last") <= at + step, F.col("last"))
-    for k in (NATURAL, WORD, CHARACTER):
-        nxt = F.coalesce(nxt, F.when(F.col(f"a{k}") > at, F.col(f"a{k}")))
-    linked = spread.withColumns({f"a{k}": c for k, c in ahead.items()}).where((chunk == F.col("chunk")) & (F.col("pos") >= overlap) & (F.col("level") != END))
-    linked = linked.select("_k", "_h", "pos", nxt.alias("next"))
-
-    # only cuts that are some cut's successor, or the first one, can be reached
-    image = linked.select("_k", "_h", F.col("next").alias("pos")).distinct()
-    nodes = cut(linked.join(image, ["_k", "_h", "pos"], "left_semi").unionByName(linked.where(F.col("pos") == overlap)).distinct())
-    jumps, reached, size = nodes, nodes.where(F.col("pos") == overlap).select("_k", "_h", "pos", F.lit(0).alias("n")), 1
-    # once no jump is left every chain has been followed to its end, however many cuts it has
-    while not jumps.isEmpty():
-        new = reached.join(jumps, ["_k", "_h", "pos"]).select("_k", "_h", F.col("next").alias("pos"), (F.col("n") + size).alias("n"))
-        reached = cut(reached.unionByName(new))
-        far = jumps.select("_k", "_h", F.col("pos").alias("next"), F.col("next").alias("far"))
-        jumps, size = cut(jumps.join(far, ["_k", "_h", "next"]).select("_k", "_h", "pos", F.col("far").alias("next"))), 2 * size
-    ranges = reached.join(nodes, ["_k", "_h", "pos"]).select("_k", "_h", (F.col("pos") - overlap).alias("start"), "next", "n")
-    name = F.create_map(*[F.lit(x) for kv in CUT_NAMES.items() for x in kv])
-    return coded.join(ranges, ["_k", "_h"]).select(
-        F.col("_k").alias(key),
-        (F.col("n") + 1).alias("piece_no"),
-        F.col("start").alias("start_token"),
-        (F.col("next") - F.col("start")).alias("n_tokens"),
-        F.coalesce(name[F.get("_l", F.col("next"))], F.lit("end")).alias("cut"),
-        F.slice("ids", F.col("start") + 1, F.col("next") - F.col("start")).alias("ids"),
-    )
+    flags = bpe.literal({"f": bpe.array(starts)})
+    coded = coded.withColumn("_l", bpe.let(flags, lambda b: _levels(F.col("words"), F.col("_w"), b["f"])))
+    coded = coded.select("_k", "_h", "ids", "_l").dropDuplicates(["_k", "_h"])
+    names = pa.array([CUT_NAMES.get(i, "character") for i in range(END + 1)])
+
+    def cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            n = np.asarray(b.column("ids").value_lengths(), np.int64)
+            end = np.cumsum(n + 1) - 1
+            first = end - n
+            level = np.full(end[-1] + 1, END, np.int64)
+            inner = np.ones(len(level), bool)
+            inner[end] = False
+            level[inner] = b.column("_l").flatten().to_numpy(zero_copy_only=False)
+            succ = successors(level, np.repeat(end, n + 1), step)
+            at = reached(succ, first + overlap, end)
+            doc = np.searchsorted(end, at)
+            number = np.arange(len(at)) - np.searchsorted(doc, doc) + 1
+            begin, size = at - overlap, succ[at] - at + overlap
+            offsets = np.concatenate([[0], np.cumsum(size)])
+            flat = np.repeat(begin - doc - offsets[:-1], size) + np.arange(offsets[-1])
+            ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), b.column("ids").flatten().take(pa.array(flat)))
+            columns = [b.column("_k").take(pa.array(doc)), *(pa.array(v.astype(np.int32)) for v in (number, begin - first[doc], size)), names.take(pa.array(level[succ[at]])), ids]
+            yield pa.RecordBatch.from_arrays(columns, names=[key, "piece_no", "start_token", "n_tokens", "cut", "ids"])
+
+    return coded.mapInArrow(cuts, f"`{key}` {coded.schema['_k'].dataType.simpleString()}, piece_no int, start_token int, n_tokens int, cut string, ids array<int>")
 
 
 def with_text(pieces: DataFrame, path: str = bpe.DEFAULT_VOCAB) -> DataFrame:
     """``pieces`` with the text of their ids in place of the ids."""
-    table = F.split(F.lit(",".join(p.hex() for p in bpe.load_vocab(path).pieces)), ",")
-    joined = bpe.let(table, lambda t: F.array_join(F.transform("ids", lambda i: F.get(t, i)), ""))
-    whole = F.regexp_replace(joined, "^(?:[89ab][0-9a-f])+", "")
+    whole = F.regexp_replace(bpe.joined(F.col("ids"), path), "^(?:[89AB][0-9A-F])+", "")
     return pieces.withColumn("text", F.decode(F.unhex(whole), "UTF-8")).drop("ids")

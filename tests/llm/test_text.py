@@ -92,11 +92,22 @@ def test_plan_of_a_mixture():
     p = mixing.plan(np.array([100.0, 100.0]), np.array([0.9, 0.1]), np.array([1, 1]), total=150)
     assert p.tolist() == [100, 50]
     assert mixing.plan(np.array([0.0, 10.0]), np.array([0.5, 0.5]), np.array([9, 2])).tolist() == [0, 20]
-    d = mixing.deal(np.array([7, 30, 0]), 10, 1)
-    assert d.sum(0).tolist() == [7, 30, 0] and d.sum(1).tolist() == [10, 10, 10, 7]
+
+
+def test_deal_of_slots(spark):
+    rows = mixing.slots_of(spark, ["a", "b", "c"], np.array([7, 30, 0]), np.array([4, 10, 3]), 10, 1).collect()
+    assert sorted(sum(r.shard == s for r in rows) for s in range(4)) == [7, 10, 10, 10] and len({(r.shard, r.slot) for r in rows}) == 37
+    assert sorted((r.block, r.repeat) for r in rows if r.source == "a") == sorted({(r.block, r.repeat) for r in rows if r.source == "a"})
+    assert sum(r.source == "a" for r in rows) == 7 and sorted(r.block for r in rows if r.source == "b") == sorted(list(range(10)) * 3)
+
+
+def test_segments_fold_like_whole_words(spark, library):
+    texts = ["漢字仮名交じり文の長い列" * 40, "эпистемологический", "אבגדהוזחט" * 30, "ภาษาไทยไม่มีช่องว่าง" * 20, "ACGT" * 900 + "TTGACA" * 300, "한국어문장입니다" * 9, "aé" * 90]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [list(r.ids) for r in bpe.encode(df).orderBy("doc_id").collect()] == library(texts)
 
 
 def test_permutation(spark):
-    for n in (1, 2, 5, 64, 1000):
+    for n in (1, 2, 5, 64, 82, 1000, 5000):
         df = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n), F.lit(3).cast("long")).alias("p"))
         assert sorted(r.p for r in df.collect()) == list(range(n))
