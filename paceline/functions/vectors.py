@@ -6,11 +6,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def vector(values) -> Column:
     """A literal vector, folded once by the optimizer."""
     return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")
 
 
+def whole_numbers(values) -> Column:
+    """A literal array of whole numbers."""
+    return F.split(F.lit(",".join(str(int(v)) for v in values)), ",").cast("array<long>")
+
+
 def matrix(rows) -> Column:
     return F.array(*[vector(r) for r in rows])
 
@@ -33,17 +43,25 @@ def distance(x: Column, y: Column) -> Column:
 
 def argmin(values: Column) -> Column:
     """Position of the first least value, from 0; -1 if there is none. NaN never wins over a number."""
-    return (F.array_position(values, F.array_min(values)) - 1).cast("int")
+    return let(values, lambda v: (F.array_position(v, F.array_min(v)) - 1).cast("int"))
 
 
 def argmax(values: Column) -> Column:
-    return (F.array_position(values, F.array_max(values)) - 1).cast("int")
+    """Position of the first largest value, from 0; NaN counts as the largest."""
+    return let(values, lambda v: (F.array_position(v, F.array_max(v)) - 1).cast("int"))
 
 
 def memberships(d: Column, m: float = 1.1) -> Column:
-    """Fuzzy memberships, raised to m, from the distances to all centres."""
-    e = 2.0 / (m - 1.0)
-    return F.transform(d, lambda a: F.pow(F.lit(1.0) / total(F.transform(d, lambda b: F.pow(a / b, F.lit(e)))), F.lit(m)))
+    """Fuzzy memberships, raised to m, from the distances to all centres: relative to the least distance, so that
+    no power overflows. A distance of zero has NaN, the others beside it 0."""
+    e = F.lit(2.0 / (m - 1.0))
+
+    def of(b: Column) -> Column:
+        whole = total(F.transform(b["d"], lambda a: F.pow(b["least"] / a, e)))
+        each = let(whole, lambda s: F.transform(b["d"], lambda a: F.pow(F.lit(1.0) / (F.pow(a / b["least"], e) * s), F.lit(m))))
+        return F.when(b["least"] == 0, F.transform(b["d"], lambda a: F.when(a == 0, F.lit(float("nan"))).otherwise(0.0))).otherwise(each)
+
+    return let(d, lambda d: let(F.struct(d.alias("d"), F.array_min(d).alias("least")), of))
 
 
 def log_density(x: Column, mean, variance) -> Column:
@@ -56,8 +74,7 @@ def log_density(x: Column, mean, variance) -> Column:
 
 
 def log_sum_exp(values: Column) -> Column:
-    top = F.array_max(values)
-    return top + F.log(total(F.transform(values, lambda v: F.exp(v - top))))
+    return let(values, lambda v: let(F.array_max(v), lambda top: top + F.log(total(F.transform(v, lambda a: F.exp(a - top))))))
 
 
 def sigmoid(z: Column) -> Column:

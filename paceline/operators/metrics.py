@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -41,6 +41,18 @@ def progress(reports: DataFrame) -> DataFrame:
     return out.select("job_id", "superstep", F.col("l.task_id").alias("slowest"), (-F.col("h.t")).alias("fastest"), F.col("l.points_read").alias("least"), F.col("h.points_read").alias("most"))
 
 
+def counted(df: DataFrame, **counters: Column) -> tuple[DataFrame, Observation]:
+    """``df`` with counters (sums of the columns given, and rows) that any action on it fills."""
+    seen = Observation()
+    return df.observe(seen, F.count("*").alias("rows"), *[F.sum(c).alias(n) for n, c in counters.items()]), seen
+
+
+def barrier_times(reports: DataFrame) -> DataFrame:
+    """(job_id, superstep, tasks, compute_ms, sync_ms): of each barrier its reports, the slowest task and the mean wait."""
+    r = once(reports)
+    return r.groupBy("job_id", "superstep").agg(F.count("*").alias("tasks"), F.max("run_ms").alias("compute_ms"), F.avg("sync_ms").alias("sync_ms"))
+
+
 def combined_messages(df: DataFrame, destination: str, value: str, how: str = "sum") -> DataFrame:
     """Messages combined by destination, before and after the shuffle."""
     return df.where(F.col(destination).isNotNull()).groupBy(destination).agg({"sum": F.sum, "min": F.min, "max": F.max}[how](value).alias("value"))

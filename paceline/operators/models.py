@@ -1,9 +1,12 @@
 """Model families of the fit loop.
 
-A clustering model projects a point to a weight for each centre and its share of the objective. The
-merged aggregate is always the sum of every point's last contribution, so the three clustering models
-differ only in the projection and in what is finalised: R = sum w, X = sum w x, S = sum w x^2. The
-gradient models sum over the points of the window only.
+A model turns a batch of points into summed contributions under the parameters that the points have been
+visited with (``sums``, numpy on Arrow batches: one pass, no row state), and totals into new parameters
+(``finalise``). The total of a cumulative model is always the sum of every point's last contribution: the
+three clustering models differ only in the contribution, R = sum w, X = sum w x, S = sum w x^2. Other
+models sum over the visits of a superstep only. ``project`` gives the same as columns, for scoring.
+
+Points with a null x are left out. NaN in a point goes into the sums and the objective: it shows.
 """
 
 from __future__ import annotations
@@ -20,35 +23,77 @@ from paceline.functions import vectors as V
 
 @dataclass(frozen=True)
 class Params:
-    """What the driver holds: centres, variances, weights; or theta; or H."""
+    """What the driver holds: centres, variances, weights; or theta; or H; or a network."""
 
     centres: np.ndarray | None = None
     variances: np.ndarray | None = None
     weights: np.ndarray | None = None
     theta: np.ndarray | None = None
     h: np.ndarray | None = None
+    rate: float = 0.0
+    step: int = 0
 
 
 def first_points(points: DataFrame, k: int) -> np.ndarray:
     """The vectors of the k least ids."""
-    return np.array([r.x for r in points.orderBy("id").limit(k).select("x").collect()], dtype=float)
+    return np.array([r.x for r in points.where("x is not null").orderBy("id").limit(k).select("x").collect()], dtype=float)
+
+
+def width(points: DataFrame) -> int:
+    first = points.where("x is not null").select(F.size("x").alias("n")).first()
+    return first.n if first else 0
 
 
 class Model:
+    """The surface of a model of one's own: ``init``, ``shapes``, ``sums`` and ``finalise``, and hooks around the
+    supersteps if wanted. ``memory``: how many of a point's last visits its contribution depends on
+    (None: all of them)."""
+
     cumulative = True
     mean_objective = False
-    second_moment = False
+    memory: int | None = 1
 
     def init(self, points: DataFrame) -> Params:
         raise NotImplementedError
 
-    def project(self, p: Params) -> tuple[Column, Column]:
-        """(weights, objective) of a row with column x."""
+    def shapes(self, p: Params) -> dict[str, tuple[int, ...]]:
+        """Names and shapes of the sums; n (points) and o (objective) are always among them."""
         raise NotImplementedError
 
+    def sums(self, x: np.ndarray, ids: np.ndarray, history: list[Params]) -> dict[str, np.ndarray]:
+        """The summed last contributions of points that have been visited with ``history``."""
+        raise NotImplementedError
+
+    def window(self, x: np.ndarray, ids: np.ndarray, history: list[Params], p: Params, visits: int) -> dict[str, np.ndarray]:
+        """What a visit with ``p`` adds to the totals: new less last contribution."""
+        new = self.sums(x, ids, [*history, p])
+        if not history:
+            return new
+        old = self.sums(x, ids, history)
+        return {c: new[c] - old[c] for c in new}
+
     def finalise(self, sums: dict, p: Params) -> Params:
         raise NotImplementedError
 
+    def objective(self, sums: dict, p: Params) -> float:
+        """Of a superstep, after finalising to ``p``."""
+        return float(sums["o"] / max(1.0, float(sums["n"])) if self.mean_objective else sums["o"])
+
+    def project(self, p: Params) -> tuple[Column, Column]:
+        """(weights, objective) of a row with column x."""
+        raise NotImplementedError
+
+    # hooks, called in the driver
+    def task_setup(self, points: DataFrame) -> None: ...
+    def superstep_setup(self, superstep: int, p: Params) -> None: ...
+    def superstep_cleanup(self, superstep: int, p: Params, objective: float) -> None: ...
+    def task_cleanup(self, p: Params) -> None: ...
+
+
+def numpy_distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """(n, k); one centre at a time, so that memory stays that of the batch."""
+    return np.sqrt(np.stack([np.square(x - c).sum(1) for c in centres], 1)) if len(centres) else np.zeros((len(x), 0))
+
 
 @dataclass
 class KMeans(Model):
@@ -58,18 +103,32 @@ class KMeans(Model):
     def init(self, points):
         return Params(centres=self.start if self.start is not None else first_points(points, self.k))
 
+    def shapes(self, p):
+        return {"n": (), "o": (), "R": (len(p.centres),), "X": p.centres.shape}
+
+    def weights(self, x, p):
+        d = numpy_distances(x, p.centres)
+        known = np.where(np.isnan(d), np.inf, d)
+        tag = known.argmin(1)
+        w = np.zeros_like(d)
+        w[np.arange(len(x)), tag] = 1.0
+        return w, d[np.arange(len(x)), tag]
+
+    def sums(self, x, ids, history):
+        w, o = self.weights(x, history[-1])
+        return {"n": float(len(x)), "o": o.sum(), "R": w.sum(0), "X": w.T @ x}
+
     def distances(self, p: Params) -> Column:
         return F.transform(V.matrix(p.centres), lambda c: V.distance(F.col("x"), c))
 
     def project(self, p):
-        d = self.distances(p)
-        best = F.array_min(d)
-        tag = F.array_position(d, best) - 1
-        return F.transform(F.sequence(F.lit(0), F.lit(len(p.centres) - 1)), lambda j: F.when(j == tag, 1.0).otherwise(0.0)), best
+        best = V.let(self.distances(p), lambda d: F.struct(F.array_min(d).alias("o"), V.argmin(d).alias("tag")))
+        return V.let(best["tag"], lambda t: F.transform(F.sequence(F.lit(0), F.lit(len(p.centres) - 1)), lambda j: F.when(j == t, 1.0).otherwise(0.0))), best["o"]
 
     def finalise(self, sums, p):
         with np.errstate(all="ignore"):
-            return replace(p, centres=sums["X"] / sums["R"][:, None])
+            R = np.where(sums["R"] == 0, np.nan, sums["R"])
+            return replace(p, centres=sums["X"] / R[:, None])
 
 
 @dataclass
@@ -77,14 +136,19 @@ class FuzzyCMeans(KMeans):
     m: float = 1.1
 
     def init(self, points):
-        d = len(points.select("x").first().x)
         # no data points, so that no distance is zero
-        return Params(centres=self.start if self.start is not None else np.repeat(np.arange(1.0, self.k + 1)[:, None], d, 1))
+        return Params(centres=self.start if self.start is not None else np.repeat(np.arange(1.0, self.k + 1)[:, None], width(points), 1))
+
+    def weights(self, x, p):
+        d, e = numpy_distances(x, p.centres), 2.0 / (self.m - 1.0)
+        with np.errstate(all="ignore"):
+            least = d.min(1, keepdims=True)
+            u = (1.0 / ((d / least) ** e * ((least / d) ** e).sum(1, keepdims=True))) ** self.m
+        return u, (u * d * d).sum(1)
 
     def project(self, p):
-        d = self.distances(p)
-        u = V.memberships(d, self.m)
-        return u, V.total(F.zip_with(u, d, lambda a, b: a * b * b))
+        u = V.let(self.distances(p), lambda d: F.struct(d.alias("d"), V.memberships(d, self.m).alias("u")))
+        return u["u"], V.let(u, lambda s: V.total(F.zip_with(s["u"], s["d"], lambda a, b: a * b * b)))
 
 
 @dataclass
@@ -92,23 +156,55 @@ class GaussianMixture(Model):
     k: int = 2
     start: np.ndarray | None = None
     mean_objective = True
-    second_moment = True
+    memory = None
 
     def init(self, points):
         c = self.start if self.start is not None else first_points(points, self.k)
-        return Params(centres=c, variances=np.ones_like(c), weights=np.full(len(c), 1.0 / len(c)))
+        return Params(centres=c, variances=np.ones_like(c), weights=np.full(len(c), 1.0 / max(1, len(c))))
+
+    def shapes(self, p):
+        return {"n": (), "o": (), "R": (len(p.centres),), "X": p.centres.shape, "S": p.centres.shape}
+
+    @staticmethod
+    def weights(x, p):
+        """(responsibilities, log density) of each point."""
+        with np.errstate(all="ignore"):
+            const = np.log(p.weights) - 0.5 * (x.shape[1] * math.log(2 * math.pi) + np.log(np.where(p.variances > 0, p.variances, np.nan)).sum(1))
+            logs = np.stack([const[j] - 0.5 * (np.square(x - c) / v).sum(1) for j, (c, v) in enumerate(zip(p.centres, p.variances))], 1)
+            top = logs.max(1, keepdims=True)
+            whole = top[:, 0] + np.log(np.exp(logs - np.where(np.isinf(top), 0, top)).sum(1))
+            return np.exp(logs - whole[:, None]), whole
+
+    def sums(self, x, ids, history):
+        w, o = np.zeros((len(x), len(history[-1].centres))), np.zeros(len(x))
+        # a point of zero total density keeps the contribution of its visit before
+        left = np.arange(len(x))
+        for p in reversed(history):
+            if not len(left):
+                break
+            r, whole = self.weights(x[left], p)
+            dense = np.exp(whole) != 0
+            w[left[dense]], o[left[dense]] = r[dense], whole[dense]
+            left = left[~dense]
+        return {"n": float(len(x)), "o": o.sum(), "R": w.sum(0), "X": w.T @ x, "S": w.T @ (x * x)}
 
     def project(self, p):
         logs = F.array(*[F.lit(float(math.log(w)) if w > 0 else float("-inf")) + V.log_density(F.col("x"), c, v) for c, v, w in zip(p.centres, p.variances, p.weights)])
-        whole = V.log_sum_exp(logs)
+        both = V.let(logs, lambda v: F.struct(v.alias("logs"), V.log_sum_exp(v).alias("whole")))
         # a point of zero total density keeps its last contribution: nulls say so
-        none = F.exp(whole) == 0
-        return F.when(~none, F.transform(logs, lambda v: F.exp(v - whole))), F.when(~none, whole)
+        weights = V.let(both, lambda b: F.when(F.exp(b["whole"]) != 0, F.transform(b["logs"], lambda v: F.exp(v - b["whole"]))))
+        return weights, V.let(both, lambda b: F.when(F.exp(b["whole"]) != 0, b["whole"]))
 
     def finalise(self, sums, p):
         with np.errstate(all="ignore"):
-            mean = sums["X"] / sums["R"][:, None]
-            return replace(p, centres=mean, variances=sums["S"] / sums["R"][:, None] - mean**2, weights=sums["R"] / sums["n"])
+            R = np.where(sums["R"] == 0, np.nan, sums["R"])
+            mean = sums["X"] / R[:, None]
+            return replace(p, centres=mean, variances=sums["S"] / R[:, None] - mean**2, weights=sums["R"] / max(1.0, sums["n"]))
+
+
+def log_likelihood_delta(now: Column, before: Column) -> Column:
+    """What a point adds to the log-likelihood: its log density less the one of its visit before, if that was finite."""
+    return F.when(before.isNull() | (before == float("-inf")), now).otherwise(now - before)
 
 
 @dataclass
@@ -120,109 +216,88 @@ class LogisticRegression(Model):
     cumulative = False
 
     def init(self, points):
-        return Params(theta=np.full(len(points.select("x").first().x) - 1, self.init_theta))
+        return Params(theta=np.full(max(0, width(points) - 1), self.init_theta))
+
+    def shapes(self, p):
+        return {"n": (), "o": (), "R": p.theta.shape}
+
+    def window(self, x, ids, history, p, visits):
+        features, y = x[:, :-1], x[:, -1]
+        with np.errstate(all="ignore"):
+            prob = 1.0 / (1.0 + np.exp(-(features @ p.theta)))
+            loss = -(np.where(y == 0, 0.0, y * np.log(prob)) + np.where(y == 1, 0.0, (1 - y) * np.log(1 - prob)))
+        return {"n": float(visits * len(x)), "o": visits * loss.sum(), "R": visits * ((prob - y) @ features)}
+
+    def columns(self, p: Params) -> dict[str, Column] | None:
+        """The sums as plain columns for few features: one generated loop in the JVM. Column n is the visits."""
+        if len(p.theta) > 64:
+            return None
+        x = [F.get("x", F.lit(i)) for i in range(len(p.theta) + 1)]
+        y, z = x[-1], sum((v * F.lit(float(t)) for v, t in zip(x, p.theta)), F.lit(0.0))
+        prob = V.sigmoid(z)
+        return {"n": F.sum("n").cast("double"), "o": F.sum(V.log_loss(prob, y) * F.col("n"))} | {f"R{i}": F.sum((prob - y) * v * F.col("n")) for i, v in enumerate(x[:-1])}
 
     def project(self, p):
         features, y = F.slice("x", 1, len(p.theta)), F.element_at("x", -1)
         prob = V.sigmoid(V.dot(features, V.vector(p.theta)))
-        return F.transform(features, lambda v: (prob - y) * v), V.log_loss(prob, y)
+        return V.let(F.struct(features.alias("f"), (prob - y).alias("e")), lambda b: F.transform(b["f"], lambda v: b["e"] * v)), V.let(prob, lambda q: V.log_loss(q, y))
+
+    def finalise(self, sums, p):
+        return replace(p, theta=p.theta - self.rate * sums["R"] / sums["n"]) if sums["n"] else p
+
+
+# ---- non-negative factorisation: V (rows id, x) is about W H
+
+
+def nmf_factors(ids: np.ndarray, rank: int) -> np.ndarray:
+    """The first factors of rows, from a deterministic expression of the id."""
+    return 0.1 + np.mod(ids[:, None] * 7 + np.arange(1, rank + 1) * 3, 11) / 10.0
+
+
+@dataclass
+class NMF(Model):
+    """Row factors move by the rule with each visit's H; H moves at the barrier. The row factors follow from the
+    id and the Hs that a row was visited with, so they are recomputed, never stored: S visits cost S small
+    steps a row. ``multiplicative``: zero denominators leave a factor as it is; else gradient steps,
+    row factors by rate (V H' - W H H'), H by rate W'(V - W H)."""
+
+    h: np.ndarray = None
+    rate: float = 5e-8
+    multiplicative: bool = False
+    cumulative = False
+    memory = None
+
+    def init(self, points):
+        return Params(h=self.h)
+
+    def shapes(self, p):
+        r, m = p.h.shape
+        return {"n": (), "o": (), "A": (r, m), "B": (r, r)}
+
+    def factors(self, x: np.ndarray, ids: np.ndarray, history: list[Params]) -> np.ndarray:
+        w = nmf_factors(ids, len(self.h))
+        for p in history:
+            num, den = x @ p.h.T, w @ (p.h @ p.h.T)
+            w = w * np.divide(num, den, out=np.ones_like(num), where=den != 0) if self.multiplicative else w + self.rate * (num - den)
+        return w
+
+    def window(self, x, ids, history, p, visits):
+        w = self.factors(x, ids, [*history, *[p] * visits])
+        return {"n": float(len(x)), "o": np.square(x).sum(), "A": w.T @ x, "B": w.T @ w}
 
     def finalise(self, sums, p):
-        if not sums["n"]:
-            return p
-        return replace(p, theta=p.theta - self.rate * sums["R"] / sums["n"])
-
-
-def window_sums(df: DataFrame, k: int, d: int, second: bool) -> dict:
-    """R, X, S, the objective and the row count of columns w, x, obj, n: one row comes back.
-
-    Few sums are plain columns inside the JVM. For many, Arrow batches are multiplied as matrices and
-    each partition sends its partial sums (k rows)."""
-    if not d:
-        r = df.agg(F.sum("n").alias("n"), F.sum(F.col("obj") * F.col("n")).alias("o"), *[F.sum(F.get("w", F.lit(j)) * F.col("n")).alias(f"r{j}") for j in range(k)]).first()
-        return {"R": np.array([r[f"r{j}"] or 0.0 for j in range(k)]), "objective": r.o or 0.0, "n": r.n or 0}
-    if k * d * (1 + second) <= 96:
-        cols = [F.sum(F.get("w", F.lit(j))).alias(f"r{j}") for j in range(k)]
-        for j in range(k):
-            for i in range(d):
-                v = F.get("x", F.lit(i))
-                cols.append(F.sum(F.get("w", F.lit(j)) * v).alias(f"x{j}_{i}"))
-                if second:
-                    cols.append(F.sum(F.get("w", F.lit(j)) * v * v).alias(f"s{j}_{i}"))
-        r = df.agg(F.count("*").alias("n"), F.sum("obj").alias("o"), *cols).first()
-        pick = lambda c: np.array([[r[f"{c}{j}_{i}"] or 0.0 for i in range(d)] for j in range(k)])
-        return {"R": np.array([r[f"r{j}"] or 0.0 for j in range(k)]), "X": pick("x"), "S": pick("s") if second else None, "objective": r.o or 0.0, "n": r.n}
-
-    def partial(batches):
-        import pyarrow as pa
-
-        R, X, S, o, n = np.zeros(k), np.zeros((k, d)), np.zeros((k, d)), 0.0, 0
-        for b in batches:
-            ok = b.column("w").is_valid().to_numpy(zero_copy_only=False)
-            x = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, d)[ok]
-            w = b.column("w").flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
-            R, X, n = R + w.sum(0), X + w.T @ x, n + b.num_rows
-            S = S + w.T @ (x * x) if second else S
-            o += float(np.nansum(b.column("obj").to_numpy(zero_copy_only=False)))
-        yield pa.RecordBatch.from_pydict({"j": np.arange(k, dtype=np.int32), "n": np.full(k, n), "o": np.full(k, o), "r": R, "x": list(X), "s": list(S)})
-
-    parts = df.select("w", "x", "obj").mapInArrow(partial, "j int, n long, o double, r double, x array<double>, s array<double>")
-    each = [F.sum(F.get(c, F.lit(i))).alias(f"{c}{i}") for c in ("x", "s") for i in range(d)]
-    rows = parts.groupBy("j").agg(F.sum("n").alias("n"), F.sum("o").alias("o"), F.sum("r").alias("r"), *each).orderBy("j").collect()
-    pick = lambda c: np.array([[r[f"{c}{i}"] for i in range(d)] for r in rows])
-    return {"R": np.array([r.r for r in rows]), "X": pick("x"), "S": pick("s"), "objective": rows[0].o, "n": rows[0].n}
-
-
-# ---- non-negative factorisation: V (rows id, x, w) is about W H
-
-
-def nmf_start(points: DataFrame, rank: int, h: np.ndarray) -> DataFrame:
-    """``points`` with first factors w from a deterministic expression of the id."""
-    return points.withColumn("w", F.transform(F.sequence(F.lit(1), F.lit(rank)), lambda r: 0.1 + F.pmod(F.col("id") * 7 + r * 3, F.lit(11)) / 10.0))
-
-
-def nmf_loss(rows: DataFrame, h: np.ndarray) -> float:
-    fit = F.transform(V.matrix(h.T), lambda c: V.dot(F.col("w"), c))
-    return rows.agg(F.sum(V.squared_distance(F.col("x"), fit)).alias("l")).first().l or 0.0
-
-
-def nmf_sums(rows: DataFrame, rank: int, m: int) -> tuple[np.ndarray, np.ndarray]:
-    """(W'V, W'W) by one aggregate."""
-    a = window_sums(rows.select("w", "x", F.lit(0.0).alias("obj")), rank, m, False)["X"]
-    b = window_sums(rows.select("w", F.col("w").alias("x"), F.lit(0.0).alias("obj")), rank, rank, False)["X"]
-    return a, b
-
-
-def nmf_multiplicative(rows: DataFrame, h: np.ndarray, steps: int, threshold: float = 0.0):
-    """(rows with w, h, losses): W first, then H with the new W; stops below the threshold. Zero denominators
-    leave a factor as it is."""
-    from paceline.plans.lineage import cut
-
-    losses = []
-    for _ in range(steps):
-        hh = h @ h.T
-        num, den = F.transform(V.matrix(h), lambda r: V.dot(F.col("x"), r)), F.transform(V.matrix(hh.T), lambda c: V.dot(F.col("w"), c))
-        ratio = F.zip_with(num, den, lambda a, b: F.when(b == 0, 1.0).otherwise(a / b))
-        rows = cut(rows.withColumn("w", F.zip_with("w", ratio, lambda a, b: a * b)))
-        a, b = nmf_sums(rows, *h.shape)
-        den = b @ h
-        h = h * np.divide(a, den, out=np.ones_like(a), where=den != 0)
-        losses.append(nmf_loss(rows, h))
-        if losses[-1] < threshold:
-            break
-    return rows, h, losses
-
-
-def nmf_gradient(rows: DataFrame, h: np.ndarray, steps: int, rate: float = 5e-8):
-    """(rows, h, losses): each row's factors move by rate (V H' - W H H'), H by rate W'(V - W H)."""
-    from paceline.plans.lineage import cut
-
-    losses = []
-    for _ in range(steps):
-        hh = h @ h.T
-        num, den = F.transform(V.matrix(h), lambda r: V.dot(F.col("x"), r)), F.transform(V.matrix(hh.T), lambda c: V.dot(F.col("w"), c))
-        rows = cut(rows.withColumn("w", F.zip_with("w", F.zip_with(num, den, lambda a, b: (a - b) * rate), lambda a, b: a + b)))
-        a, b = nmf_sums(rows, *h.shape)
-        h = h + rate * (a - b @ h)
-        losses.append(nmf_loss(rows, h))
-    return rows, h, losses
+        if self.multiplicative:
+            den = sums["B"] @ p.h
+            return replace(p, h=p.h * np.divide(sums["A"], den, out=np.ones_like(den), where=den != 0))
+        return replace(p, h=p.h + self.rate * (sums["A"] - sums["B"] @ p.h))
+
+    def objective(self, sums, p):
+        """Squared error with the new H, from the same sums: |V|^2 - 2 <W'V, H> + <W'W, H H'>."""
+        return float(sums["o"] - 2 * (sums["A"] * p.h).sum() + (sums["B"] * (p.h @ p.h.T)).sum())
+
+
+def nmf_loss(points: DataFrame, h: np.ndarray) -> float:
+    """Squared error of the first factors."""
+    w = F.transform(F.sequence(F.lit(1), F.lit(len(h))), lambda r: 0.1 + F.pmod(F.col("id") * 7 + r * 3, F.lit(11)) / 10.0)
+    fit = V.let(w, lambda w: V.times_matrix(w, h.T))
+    return points.agg(F.sum(V.squared_distance(F.col("x"), fit)).alias("l")).first().l or 0.0

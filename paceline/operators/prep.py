@@ -2,28 +2,32 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-RANGES = 256
+from paceline.functions import vectors as V
+
+#: A dictionary of so many values at most is broadcast; a larger one is joined by shuffles.
+BROADCAST_CODES = 200_000
 
 
 def numbered(df: DataFrame, order: list[str], name: str = "id") -> DataFrame:
-    """``df`` with 0-based row numbers in the given order. Rows are range-partitioned and sorted in
+    """``df`` with 0-based row numbers in the given order; rows that are equal in it follow a hash of all their
+    columns. Rows are range-partitioned (as many ranges as the session shuffles to) and sorted in
     parallel; row counts of the partitions (few numbers) give each its first one."""
     from paceline.plans.lineage import store
 
-    n = max(1, min(RANGES, df.rdd.getNumPartitions()))
-    split = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    tie = F.xxhash64(*(f.name for f in df.schema if "map<" not in f.dataType.simpleString()))
+    split = df.repartitionByRange(*order, tie).sortWithinPartitions(*order, tie)
     part = store(split.withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id()))
     # a partition's rows have consecutive values of _m from its number shifted left by 33
-    counts = sorted((r._p, r["count"]) for r in part.groupBy("_p").count().collect())
-    before, first = 0, {}
-    for p, c in counts:
-        first[p] = before
-        before += c
-    offset = F.coalesce(F.element_at(F.create_map(*[F.lit(v) for kv in (first or {0: 0}).items() for v in kv]), F.col("_p")), F.lit(0))
+    counts = {r._p: r["count"] for r in part.groupBy("_p").count().collect()}
+    first = [0]
+    for p in range(max(counts, default=0)):
+        first.append(first[-1] + counts.get(p, 0))
+    offset = F.get(V.whole_numbers(first), F.col("_p"))
     return part.withColumn(name, offset + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).drop("_p", "_m")
 
 
@@ -51,14 +55,16 @@ def dictionary(df: DataFrame, columns: list[str]) -> DataFrame:
 def encoded(df: DataFrame, columns: list[str]) -> DataFrame:
     """``df`` with the columns replaced by their codes; null stays null."""
     codes = dictionary(df, columns)
+    small = codes.limit(BROADCAST_CODES + 1).count() <= BROADCAST_CODES
     for c in columns:
-        df = df.join(codes.select(F.col("value").alias(c), F.col("code").alias(f"_{c}")), c, "left").drop(c).withColumnRenamed(f"_{c}", c)
+        mine = codes.select(F.col("value").alias("_value"), F.col("code").alias("_code"))
+        df = df.join(F.broadcast(mine) if small else mine, F.col(c).cast("string") == F.col("_value"), "left").withColumn(c, F.col("_code")).drop("_value", "_code")
     return df
 
 
 def dense_rows(ratings: DataFrame, user: str, item: str, rating: str, items: int, missing: float = 0.01) -> DataFrame:
-    """(row, user, v): for each user in order a dense vector over items 1..items; what is missing, null or
-    outside has ``missing``. Repeated ratings of an item: the last in (rating) order, i.e. the largest."""
+    """(row, user, rated, v): for each user in order a dense vector over items 1..items; what is missing, null or
+    outside has ``missing``. ``rated``: the ratings in it. Repeated ratings of an item: the largest."""
     inside = F.when(F.col(item).between(1, items), F.col(item).cast("int"))
     best = ratings.where(F.col(user).isNotNull()).groupBy(F.col(user).alias("user"), inside.alias("k")).agg(F.max(rating).alias("r"))
     known = F.when(F.col("k").isNotNull() & F.col("r").isNotNull(), F.struct("k", "r"))
@@ -68,7 +74,7 @@ def dense_rows(ratings: DataFrame, user: str, item: str, rating: str, items: int
     gap = lambda x, i: x["k"] - F.coalesce(F.get("e", i - 1)["k"], F.lit(0)) - 1
     parts = F.flatten(F.transform("e", lambda x, i: F.concat(filled(gap(x, i)), F.array(x["r"]))))
     v = F.concat(parts, filled(items - F.coalesce(F.get("e", F.size("e") - 1)["k"], F.lit(0))))
-    return numbered(by_user, ["user"], "row").select("row", "user", v.alias("v"))
+    return numbered(by_user, ["user"], "row").select("row", "user", F.size("e").cast("long").alias("rated"), v.alias("v"))
 
 
 def split_at(df: DataFrame, order: list[str], n: int) -> tuple[DataFrame, DataFrame]:
@@ -83,6 +89,12 @@ def random_points(spark: SparkSession, n: int, d: int, seed: int = 1, scale: flo
     return spark.range(n).select("id", F.transform(F.sequence(F.lit(1), F.lit(d)), unit).alias("x"))
 
 
+def summed_points(spark: SparkSession, n: int, d: int, seed: int = 1) -> DataFrame:
+    """(id, x): sums of a draw from [0, 10) and one from [0, 1)."""
+    a, b = random_points(spark, n, d, seed, 10.0), random_points(spark, n, d, seed + 1)
+    return a.join(b.select("id", F.col("x").alias("y")), "id").select("id", F.zip_with("x", "y", lambda p, q: p + q).alias("x"))
+
+
 def sparse_matrix(spark: SparkSession, n: int, m: int, seed: int = 1) -> DataFrame:
     """(id, x): rows whose entries are zero but for every step-th column, with a step of 5 to 14 by row."""
     step = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(10)) + 5
@@ -91,21 +103,44 @@ def sparse_matrix(spark: SparkSession, n: int, m: int, seed: int = 1) -> DataFra
 
 
 def inverse_cdf(name: str, u: Column, *p: float) -> Column:
-    """Random variates from uniform u."""
+    """Random variates from one uniform u in [0, 1)."""
     if name == "exponential":
         return -F.log(1 - u) / p[0]
     if name == "weibull":
         return p[0] * F.pow(-F.log(1 - u), F.lit(1 / p[1]))
     if name == "cauchy":
-        return p[0] + p[1] * F.tan(F.lit(3.141592653589793) * (u - 0.5))
-    if name == "triangular":
+        return p[0] + p[1] * F.tan(F.lit(math.pi) * (u - 0.5))
+    if name == "triangular":  # least, mode, largest
         a, c, b = p
         return F.when(u < (c - a) / (b - a), a + F.sqrt(u * (b - a) * (c - a))).otherwise(b - F.sqrt((1 - u) * (b - a) * (b - c)))
     if name == "uniform":
         return p[0] + (p[1] - p[0]) * u
+    if name == "dirac":
+        return F.lit(p[0]) + 0 * u
+    if name == "int":  # both ends included
+        return (F.lit(int(p[0])) + F.floor(u * (int(p[1]) - int(p[0]) + 1))).cast("long")
     raise ValueError(name)
 
 
+def variates(name: str, u: list[Column], *p: float) -> Column:
+    """Random variates that take several uniforms: normal and lognormal (mean, deviation) two, chi2 (degrees)
+    two for each degree, symmetric (least, largest) two, beta (whole a, b) a + b - 1, string one a letter."""
+    normal = lambda a, b: F.sqrt(-2 * F.log(1 - a)) * F.cos(F.lit(2 * math.pi) * b)
+    if name == "normal":
+        return p[0] + p[1] * normal(*u[:2])
+    if name == "lognormal":
+        return F.exp(p[0] + p[1] * normal(*u[:2]))
+    if name == "chi2":
+        return sum((F.pow(normal(u[2 * i], u[2 * i + 1]), F.lit(2.0)) for i in range(int(p[0]))), F.lit(0.0))
+    if name == "symmetric":
+        return p[0] + (p[1] - p[0]) * (u[0] + u[1]) / 2
+    if name == "beta":
+        return F.get(F.array_sort(F.array(*u[: int(p[0] + p[1]) - 1])), F.lit(int(p[0]) - 1))
+    if name == "string":
+        return F.concat(*[F.chr(97 + F.floor(v * 26)) for v in u])
+    return inverse_cdf(name, u[0], *p)
+
+
 def distinct_items(ratings: DataFrame, item: str) -> DataFrame:
     return ratings.agg(F.countDistinct(item).alias("n"))
 

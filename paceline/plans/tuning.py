@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 
 def block_size(overhead_ms: float, point_ms: float) -> int:
@@ -14,23 +14,42 @@ def block_count(points: int, tasks: int, size: int) -> int:
     return max(1, points // (tasks * max(1, size)))
 
 
+@dataclass
+class BlockTuner:
+    """The block size from the averages of the first ``reports`` supersteps; then it stays."""
+
+    reports: int = 3
+    size: int | None = None
+    seen: list = field(default_factory=list)
+
+    def step(self, overhead_ms: float, point_ms: float) -> int | None:
+        if self.size is None:
+            self.seen.append((overhead_ms, point_ms))
+            if len(self.seen) == self.reports:
+                self.size = max(1, block_size(sum(s[0] for s in self.seen), sum(s[1] for s in self.seen)))
+        return self.size
+
+
 @dataclass
 class IntervalTuner:
     """Halves the barrier interval while a superstep's progress per full interval stays above the target;
-    when it does not, goes back half a step (1.5 times) and stays there."""
+    when it does not, goes back half a step (1.5 times) and stays there. The first interval is half of
+    the first superstep. Progress is the fall of the objective; ``rising`` objectives (a
+    log-likelihood) have negative progress, and the comparison turns round."""
 
-    rising: bool = False  # an objective that grows, as a log-likelihood does
+    rising: bool = False
     interval: float = 100.0
     target: float = 0.0
     frozen: bool = False
+    syncs: list = field(default_factory=list)
 
     def step(self, superstep: int, elapsed_ms: float, progress: float, sync_ms: float = 0.0) -> float:
         if superstep == 1:
             self.interval, self.target = elapsed_ms / 2, 0.0
         elif not self.frozen:
-            real = progress * (2 - sync_ms / self.interval)
-            done = real >= self.target if self.rising else real <= self.target
-            if done and superstep > 2:
+            self.syncs.append(sync_ms)
+            real = progress * (2 - sum(self.syncs) / len(self.syncs) / self.interval)
+            if real >= self.target if self.rising else real <= self.target:
                 self.interval, self.frozen = 1.5 * self.interval, True
             else:
                 self.target, self.interval = progress, self.interval / 2
@@ -39,25 +58,34 @@ class IntervalTuner:
 
 @dataclass
 class WindowedTuner:
-    """The same decision once for each window of supersteps, on its total progress."""
+    """The same decision once for each window of max(4, 2 + ``skip``) supersteps, on the summed progress of
+    those after the first ``skip`` of the window. The next target goes on from the last two supersteps'
+    progress: (last - (last but one - last)) * (1 + sync / interval)."""
 
-    window: int = 4
+    rising: bool = False
     skip: int = 2
     interval: float = 100.0
-    older: float | None = None
-    old: float | None = None
+    target: float = 0.0
     frozen: bool = False
+    progress: list = field(default_factory=list)
+    before: float = 0.0
+    syncs: list = field(default_factory=list)
 
-    def step(self, superstep: int, objective: float, sync_ms: float = 0.0) -> float:
-        if superstep <= self.skip or (superstep - self.skip) % self.window or self.frozen:
+    def step(self, superstep: int, elapsed_ms: float, progress: float, sync_ms: float = 0.0) -> float:
+        if superstep == 1:
+            self.interval, self.before = elapsed_ms / 2, progress
             return self.interval
-        if self.older is not None and self.old is not None:
-            target = (self.old - (self.older - self.old)) * (1 + sync_ms / self.interval)
-            if objective >= target:
-                self.interval, self.frozen = 1.5 * self.interval, True
-            else:
-                self.interval /= 2
-        self.older, self.old = self.old, objective
+        older, self.before = self.before, progress
+        self.progress.append(progress)
+        self.syncs.append(sync_ms)
+        if self.frozen or len(self.progress) < max(4, 2 + self.skip):
+            return self.interval
+        real, self.progress = sum(self.progress[self.skip :]), []
+        if real >= self.target if self.rising else real <= self.target:
+            self.interval, self.frozen, self.target = 1.5 * self.interval, True, 0.0
+        else:
+            self.target = (progress - (older - progress)) * (1 + sum(self.syncs) / len(self.syncs) / self.interval)
+            self.interval /= 2
         return self.interval
 
 
@@ -81,4 +109,5 @@ def stops(superstep: int, most: int, objective: float, threshold: float, rising:
     return superstep >= most or (objective > threshold if rising else objective < threshold)
 
 
+#: States of a fit, in order; the last three end it.
 STATES = ("PREP", "LOAD", "RUNNING", "SAVE", "SUCCEEDED", "FAILED", "KILLED")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paceline.plans.lineage import remove
+
 
 def key_value(line: Column, separator: str = "\t") -> tuple[Column, Column]:
     """Key and value of a line: exactly two pieces give both, anything else the first piece and an
@@ -40,6 +42,27 @@ def read_points(spark: SparkSession, paths: str | list[str], separator: str = "\
     return kv.select(F.col("key").try_cast("long").alias("id"), parse_vector(F.col("value")).alias("x"))
 
 
+def parse_ratings(line: Column) -> tuple[Column, Column, Column]:
+    """User, item and rating of ``user::item::rating`` with or without a time; a field that is no number is null."""
+    f = F.split(line, "::")
+    return F.get(f, F.lit(0)).try_cast("long"), F.get(f, F.lit(1)).try_cast("int"), F.get(f, F.lit(2)).try_cast("double")
+
+
+def split_sizes(spark: SparkSession, most: int | None = None, least: int | None = None) -> dict[str, str]:
+    """Sets (those given) and returns the bounds of a scan's splits in bytes."""
+    names = {"spark.sql.files.maxPartitionBytes": most, "spark.sql.files.openCostInBytes": least}
+    for name, value in names.items():
+        if value is not None:
+            spark.conf.set(name, str(value))
+    return {name: spark.conf.get(name) for name in names}
+
+
+def write_sequence_file(df: DataFrame, path: str) -> None:
+    """Text records (key, value) of the first two columns; an existing output is replaced. The format has only an RDD writer."""
+    remove(df.sparkSession, path)
+    df.select(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns[:2])).rdd.map(tuple).saveAsSequenceFile(path)
+
+
 def read_sequence_file(spark: SparkSession, path: str) -> DataFrame:
     """(key, value) of a sequence file of texts."""
     return spark.createDataFrame(spark.sparkContext.sequenceFile(path).map(lambda kv: (str(kv[0]), str(kv[1]))), "key string, value string")

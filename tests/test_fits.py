@@ -87,9 +87,9 @@ def test_nmf_loss_falls(spark):
     rows = [(i, [float((i * j) % 5 + 1) for j in range(6)]) for i in range(30)]
     df = spark.createDataFrame(rows, "id long, x array<double>")
     h = np.random.default_rng(0).random((2, 6)) + 0.1
-    losses = models.nmf_multiplicative(models.nmf_start(df, 2, h), h, 4)[2]
+    losses = objectives(df, models.NMF(h, multiplicative=True))
     assert all(a >= b for a, b in zip(losses, losses[1:]))
-    losses = models.nmf_gradient(models.nmf_start(df, 2, h), h, 3, rate=1e-4)[2]
+    losses = objectives(df, models.NMF(h, rate=1e-4), steps=3)
     assert losses[0] > losses[-1]
 
 
