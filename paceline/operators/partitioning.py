@@ -76,6 +76,13 @@ def placement(tasks: int, workers: int, one_on_master: bool = False) -> list[int
     return [t // run for t in range(tasks)]
 
 
+def placed(jobs: DataFrame, workers: int) -> DataFrame:
+    """(job_id, task, worker): the same for the tasks of every job."""
+    n = F.col("num_tasks")
+    tasks = jobs.where(n > 0).select("job_id", "num_tasks", F.explode(F.sequence(F.lit(0), n - 1)).alias("task"))
+    return tasks.select("job_id", "task", F.floor(F.col("task") / F.ceil(n / workers)).cast("int").alias("worker"))
+
+
 def job_order(jobs: DataFrame) -> DataFrame:
     """``jobs`` with their rank in the queue: by priority (1 first, none last), then by time, then by id."""
     w = W.orderBy(F.coalesce("priority", F.lit(6)).cast("string"), "submitted_at", "job_id")  # a queue is short

@@ -13,12 +13,14 @@ from __future__ import annotations
 
 import copy
 import math
+import pickle
 import time
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -104,7 +106,7 @@ def cyclic(sizes: list[int], cursors: list[int], quotas: list[int]) -> list[list
 
 @dataclass
 class FitConfig:
-    """``migrate``: superstep -> task whose tail moves to others before it. ``checkpoint_to``: folder of the
+    """``tasks``: at least so many, those without points are disabled. ``migrate``: superstep -> task whose tail moves to others before it. ``checkpoint_to``: folder of the
     fit's checkpoints (None: a new one in the checkpoint folder); with ``resume`` it goes on from the last
     one there. ``fail_at``: a superstep that is lost once (a test of recovery)."""
 
@@ -115,6 +117,7 @@ class FitConfig:
     checkpoint_to: str | None = None
     resume: bool = False
     fail_at: int | None = None
+    tasks: int = 0
     migrate: dict[int, int] = field(default_factory=dict)
     migrate_chunk: int = partitioning.CHUNK_POINTS
     on_state: Callable[[str], None] | None = None
@@ -181,14 +184,14 @@ class FitResult:
 
     def contributions(self, points: DataFrame) -> DataFrame:
         """(id, w, obj): the last contribution of every point of a clustering fit."""
-        shared = points.sparkSession.sparkContext.broadcast((self.model, self.state.versions, self.state.ranges))
+        shared = points.sparkSession.sparkContext.broadcast(cloudpickle.dumps((self.model, self.state.versions, self.state.ranges)))
         tasked = bool(self.state.ranges)
         rows = relabelled(points, self.state.moves) if tasked else points
 
         def part(batches):
             import pyarrow as pa
 
-            model, versions, ranges = shared.value
+            model, versions, ranges = pickle.loads(shared.value)
             for b in batches:
                 for rows, hist, _ in grouped(b, ranges if tasked else None, versions):
                     for lo in range(0, len(rows), CHUNK):
@@ -246,10 +249,11 @@ def barrier_sums(rows: DataFrame, model: Model, p: Params, state: State, tasked:
         r = (rows if tasked else rows.withColumn("visits", F.lit(1))).withColumnRenamed("visits", "n").where("x is not null").agg(*[c.alias(name) for name, c in cols.items()]).first()
         flat = {c: r[c] or 0.0 for c in ("n", "o")}
         return flat | {"R": np.array([r[f"R{i}"] or 0.0 for i in range(shapes["R"][0])]), "busy": None}
-    shared = rows.sparkSession.sparkContext.broadcast((model, p, state.versions, state.ranges if tasked else None))
+    # a few numbers for each centre, live version and task; by value, so that a model may be defined anywhere
+    shared = rows.sparkSession.sparkContext.broadcast(cloudpickle.dumps((model, p, state.versions, state.ranges if tasked else None)))
 
     def part(batches):
-        model, p, versions, ranges = shared.value
+        model, p, versions, ranges = pickle.loads(shared.value)
         began, total = time.monotonic(), np.zeros(sum(int(np.prod(s)) for s in shapes.values()))
         for b in batches:
             for at, hist, visits in grouped(b, ranges, versions):
@@ -303,7 +307,7 @@ def fit(points: DataFrame, model: Model, config: FitConfig) -> FitResult:
         tasked = not isinstance(s.sync, Concurrent)
         if tasked and not s.ranges:
             counts = {r.task: r.n for r in points.groupBy("task").agg(F.count("*").alias("n")).collect()}  # one row for each task
-            s.ranges = [[(0, counts[t], ())] if counts.get(t) else [] for t in range(max(counts, default=-1) + 1)]
+            s.ranges = [[(0, counts[t], ())] if counts.get(t) else [] for t in range(max(config.tasks, max(counts, default=-1) + 1))]
             s.cursors = [0] * len(s.ranges)
         start, lost = copy.deepcopy(s), config.fail_at
         model.task_setup(points)

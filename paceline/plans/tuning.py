@@ -5,11 +5,18 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 
 def block_size(overhead_ms: float, point_ms: float) -> int:
     return int(300 * math.sqrt(overhead_ms / point_ms))
 
 
+def block_size_column(overhead_ms: Column, point_ms: Column) -> Column:
+    return F.floor(300 * F.sqrt(overhead_ms / point_ms))
+
+
 def block_count(points: int, tasks: int, size: int) -> int:
     return max(1, points // (tasks * max(1, size)))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -10,10 +11,10 @@ from pyspark.sql import functions as F
 
 from paceline.functions import grids
 from paceline.functions import vectors as V
-from paceline.operators import cnn, metrics, models, partitioning, prep
+from paceline.operators import cnn, messages, metrics, models, partitioning, prep
 from paceline.plans import loop, tuning
 from paceline.plans.fit_sql import POINTS, TASKS, fit_sql, trace_sql
-from paceline.plans.lineage import cut, store
+from paceline.plans.lineage import checkpoint_dir, cut, store
 from paceline.sources import delimited, points
 from paceline.streaming import barrier
 
@@ -115,15 +116,26 @@ def id_to_task(spark, sf_dir):
     return partitioning.task_of(embeddings(spark, sf_dir), routes).select("id", "task")
 
 
-@query("SELECT length, skew::DOUBLE AS skew, i AS task, CASE WHEN i = 0 THEN s + 3 * m WHEN i < 3 THEN s - m ELSE length - (s + 3 * m) - 2 * (s - m) END AS size FROM (SELECT length, skew, ceil(length / 4.0)::BIGINT AS s, ceil(skew * ceil(length / 4.0) / (skew + 4))::BIGINT AS m FROM (VALUES (1000, 0.0), (1000, 0.5), (1003, 0.9)) v(length, skew)), range(4) g(i)")
+SKEWED = "WITH o AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS id, count(*) OVER () AS n FROM orders), z AS (SELECT *, (n + 3) // 4 AS s, ceil(0.5 * ((n + 3) // 4) / 4.5)::BIGINT AS m FROM o)"
+
+
+@query(f"{SKEWED} SELECT CASE WHEN id < s + 3 * m THEN 0 ELSE least(3, 1 + (id - s - 3 * m) // (s - m)) END::INT AS task, count(*) AS n, min(id) AS min_id FROM z GROUP BY 1")
 def split_sizes_skewed(spark, sf_dir):
-    rows = [(n, k, i, size) for n, k in ((1000, 0.0), (1000, 0.5), (1003, 0.9)) for i, size in enumerate(partitioning.split_sizes(n, 4, k))]
-    return spark.createDataFrame(rows, "length int, skew double, task long, size long")
+    """The orders in four splits, the first larger by a skew of 0.5."""
+    rows = partitioning.skewed_tasks(prep.numbered(table(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"]), 4, 0.5)
+    return rows.groupBy("task").agg(F.count("*").alias("n"), F.min("id").alias("min_id"))
+
 
+@query(f"SELECT t.task::INT AS task, coalesce(m, -1) AS min_id FROM range(6) t(task) LEFT JOIN (SELECT task, min(id) AS m FROM ({TASKED}) GROUP BY task) a ON a.task = t.task")
+def min_id_peek(spark, sf_dir):
+    """Four tasks with points and two disabled ones."""
+    return partitioning.min_id(tasked(spark, sf_dir), tasks=6)
 
-@query("SELECT t AS task, (t // 4)::INT AS worker FROM range(10) g(t)")
+
+@query("SELECT job_id, t::INT AS task, (t // ((num_tasks + 2) // 3))::INT AS worker FROM fit_jobs, range(4096) g(t) WHERE t < num_tasks")
 def task_placement(spark, sf_dir):
-    return spark.createDataFrame(list(enumerate(partitioning.placement(10, 3))), "task long, worker int")
+    """The tasks of every job on three workers."""
+    return partitioning.placed(table(spark, sf_dir, "fit_jobs"), 3)
 
 
 @query("SELECT job_id, row_number() OVER (ORDER BY coalesce(priority, 6)::VARCHAR, submitted_at NULLS FIRST, job_id) AS rank FROM fit_jobs")
@@ -174,21 +186,13 @@ def value_freq(spark, sf_dir):
 
 def dense_totals(ratings: DataFrame, items: int) -> DataFrame:
     d = prep.dense_rows(ratings, "user_id", "movie_id", "rating", items)
-    rated = F.size(F.filter("v", lambda v: v != 0.01)).cast("long")
-    return d.select("row", "user", F.round(V.total(F.col("v")), 4).alias("total"), rated.alias("rated"))
-
-
-@query("""WITH r AS (SELECT user_id, movie_id, max(CASE WHEN isnan(rating) THEN 1e300 ELSE rating END) AS r FROM ratings WHERE movie_id BETWEEN 1 AND 500 GROUP BY 1, 2)
-SELECT row_number() OVER (ORDER BY user_id) - 1 AS row, user_id AS user, round(sum(coalesce(r, 0.01)) + 0.01 * (500 - count(*)), 4) AS total, count(*) FILTER (WHERE r IS NOT NULL) AS rated FROM r WHERE user_id IS NOT NULL GROUP BY user_id""")
-def ratings_dense(spark, sf_dir):
-    """Items 1..500 and the users that rated one of them, as its SQL has it; ``ratings_dense_all`` is the whole job."""
-    return dense_totals(table(spark, sf_dir, "ratings").where("movie_id between 1 and 500"), 500)
+    return d.select("row", "user", F.round(V.total(F.col("v")), 4).alias("total"), "rated")
 
 
 @query("""WITH r AS (SELECT user_id, movie_id, max(CASE WHEN isnan(rating) THEN 1e300 ELSE rating END) AS r FROM ratings WHERE user_id IS NOT NULL GROUP BY 1, 2),
 u AS (SELECT user_id, coalesce(sum(r) FILTER (WHERE movie_id BETWEEN 1 AND 10681), 0) AS s, count(r) FILTER (WHERE movie_id BETWEEN 1 AND 10681) AS rated FROM r GROUP BY user_id)
 SELECT row_number() OVER (ORDER BY user_id) - 1 AS row, user_id AS user, round(s + 0.01 * (10681 - rated), 4) AS total, rated FROM u""")
-def ratings_dense_all(spark, sf_dir):
+def ratings_dense(spark, sf_dir):
     """Every user over all items of the reference, with or without a rating in range."""
     return dense_totals(table(spark, sf_dir, "ratings"), 10_681)
 
@@ -214,16 +218,68 @@ def random_points(spark, sf_dir):
     return prep.random_points(spark, 10_000, 20)
 
 
+@query("SELECT 'uniform' AS kind, 10000 AS n, 20 AS d, true AS inside, true AS centred UNION ALL SELECT 'summed', 10000, 20, true, true")
+def random_points_bounds(spark, sf_dir):
+    """Bounds and mean of the generators: [0, 1) around 0.5, and [0, 11) around 5.5."""
+    def of(kind, df, top):
+        x = df.select(F.explode("x").alias("v"))
+        return x.agg(F.lit(kind).alias("kind"), F.floor(F.count("*") / 20).alias("n"), F.lit(20).cast("long").alias("d"), ((F.min("v") >= 0) & (F.max("v") < top)).alias("inside"), (F.abs(F.avg("v") - top / 2) < 0.01 * top).alias("centred"))
+
+    return of("uniform", prep.random_points(spark, 10_000, 20), 1).unionByName(of("summed", prep.summed_points(spark, 10_000, 20), 11))
+
+
 @query()
 def sparse_matrix(spark, sf_dir):
     return prep.sparse_matrix(spark, 100, 100)
 
 
-@query()
+@query("SELECT 100 AS n, true AS on_step, true AS some")
+def sparse_matrix_shape(spark, sf_dir):
+    """In every row the entries that aren't zero stand at the multiples of one step of 5 to 14."""
+    at = prep.sparse_matrix(spark, 100, 100).select(F.filter(F.transform("x", lambda v, j: F.when(v != 0, j)), lambda j: j.isNotNull()).alias("at"))
+    step = F.get("at", F.lit(1))
+    ok = step.between(5, 14) & (F.size("at") == F.floor((99 / step)) + 1) & F.forall("at", lambda j: j % step == 0)
+    return at.agg(F.count("*").alias("n"), F.bool_and(ok).alias("on_step"), F.bool_or(F.size("at") > 0).alias("some"))
+
+
+U = "((o_orderkey * 7919 + {0} * 104729 + 1) % 10007 + 0.5) / 10007.0"
+NORMAL = "sqrt(-2 * ln(1 - {0})) * cos(2 * pi() * {1})"
+N1, N2 = NORMAL.format("u0", "u1"), NORMAL.format("u2", "u3")
+
+
+@query(
+    "WITH u AS (SELECT o_orderkey, " + ", ".join(f"{U.format(i)}::DOUBLE AS u{i}" for i in range(4)) + " FROM orders) SELECT o_orderkey, round(11 * u0, 6) AS uniform, 3.0::DOUBLE AS dirac, round(-ln(1 - u0) / 1.5, 6) AS exponential, "
+    "round(sqrt(-ln(1 - u0)), 6) AS weibull, round(tan(pi() * (u0 - 0.5)), 2) AS cauchy, round(CASE WHEN u0 < 1 / 3.0 THEN sqrt(u0 * 3) ELSE 3 - sqrt((1 - u0) * 6) END, 6) AS triangular, "
+    f"round(2 + 3 * ({N1}), 6) AS normal, round(exp(0.5 * ({N1})), 6) AS lognormal, round(pow({N1}, 2) + pow({N2}, 2), 6) AS chi2, round(1 + 2 * (u0 + u1) / 2, 6) AS symmetric, "
+    "round(list_sort([u0, u1, u2, u3])[2], 6) AS beta, (5 + floor(u0 * 6))::BIGINT AS int, chr(97 + floor(u0 * 26)::INT) || chr(97 + floor(u1 * 26)::INT) AS string FROM u"
+)
 def random_variates(spark, sf_dir):
-    u = F.pmod(F.xxhash64("id"), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    kinds = {"uniform": (0, 11), "exponential": (1.5,), "weibull": (1.0, 2.0), "cauchy": (0.0, 1.0), "triangular": (0.0, 1.0, 3.0)}
-    return spark.range(10_000).select("id", *[prep.inverse_cdf(k, u, *p).alias(k) for k, p in kinds.items()])
+    """All the distributions, from uniforms that follow from the order key."""
+    u = [((F.col("o_orderkey") * 7919 + i * 104729 + 1) % 10007 + 0.5) / 10007.0 for i in range(4)]
+    kinds = {
+        "uniform": (0, 11), "dirac": (3.0,), "exponential": (1.5,), "weibull": (1.0, 2.0), "cauchy": (0.0, 1.0), "triangular": (0.0, 1.0, 3.0), "normal": (2.0, 3.0),
+        "lognormal": (0.0, 0.5), "chi2": (2,), "symmetric": (1.0, 3.0), "beta": (2, 3),
+    }
+    rounded = [F.round(prep.variates(k, u, *p), 2 if k == "cauchy" else 6).alias(k) for k, p in kinds.items()]
+    return table(spark, sf_dir, "orders").select("o_orderkey", *rounded, prep.variates("int", u, 5, 10).alias("int"), prep.variates("string", u[:2]).alias("string"))
+
+
+@query("SELECT user_id AS user, movie_id AS movie, CASE WHEN isnan(rating) THEN NULL ELSE rating END AS rating FROM ratings WHERE user_id IS NOT NULL AND movie_id IS NOT NULL AND rating IS NOT NULL")
+def ratings_parsed(spark, sf_dir):
+    """Ratings as ``user::movie::rating::time`` lines, parsed again."""
+    r = table(spark, sf_dir, "ratings").where("user_id is not null and movie_id is not null and rating is not null")
+    line = F.concat_ws("::", *[F.col(c).cast("string") for c in ("user_id", "movie_id", "rating")], F.unix_micros(F.coalesce("rated_at", F.lit("1970-01-01").cast("timestamp_ntz")).cast("timestamp")).cast("string"))
+    user, movie, rating = points.parse_ratings(line)
+    return r.select(user.alias("user"), movie.alias("movie"), F.when(~F.isnan(rating), rating).alias("rating"))
+
+
+@query("SELECT line_id, coalesce(line, '') AS line FROM sample_lines")
+def sequence_round_trip(spark, sf_dir):
+    """The lines written as a sequence file and read back."""
+    path = f"{checkpoint_dir(spark)}/lines.{uuid.uuid4().hex}.seq"
+    points.write_sequence_file(table(spark, sf_dir, "sample_lines").select("line_id", "line"), path)
+    back = points.read_sequence_file(spark, path)
+    return back.select(F.col("key").cast("long").alias("line_id"), F.col("value").alias("line"))
 
 
 # ---- kernels
@@ -245,47 +301,96 @@ def argmin_assign(spark, sf_dir):
     return e.select("id", V.argmin(d).alias("tag"))
 
 
-GRID5, GRID16 = np.arange(1.0, 26).reshape(5, 5), np.arange(1.0, 257).reshape(16, 16)
-M5 = "m AS (SELECT i, j, (i * 5 + j + 1)::DOUBLE AS v FROM range(5) a(i), range(5) b(j))"
+def grid_query(spark, sf_dir, kernel) -> DataFrame:
+    """(id, i, j, v): ``kernel`` of each embedding as an 8 x 8 grid."""
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            m = kernel(loop.vectors_of(b).reshape(-1, 8, 8))
+            n, h, w = m.shape
+            i, j = np.divmod(np.tile(np.arange(h * w), n), w)
+            yield pa.RecordBatch.from_pydict({"id": np.repeat(b.column("id").to_numpy(), h * w), "i": i, "j": j, "v": np.round(m.ravel(), 5) + 0.0})
 
+    return embeddings(spark, sf_dir).mapInArrow(run, "id long, i long, j long, v double")
 
-def grid(spark, m: np.ndarray) -> DataFrame:
-    return spark.createDataFrame([(i, j, float(v)) for (i, j), v in np.ndenumerate(m)], "i long, j long, v double")
 
+E8 = "m AS (SELECT vec_id AS id, i, j, embedding[i * 8 + j + 1]::DOUBLE AS v FROM embeddings, range(8) a(i), range(8) b(j))"
+KERNEL = np.arange(1.0, 10).reshape(3, 3)
 
-@query(f"WITH {M5} SELECT o.i, o.j, sum(v) AS v FROM (SELECT i, j FROM range(7) a(i), range(7) b(j)) o JOIN m ON m.i BETWEEN o.i - 2 AND o.i AND m.j BETWEEN o.j - 2 AND o.j GROUP BY o.i, o.j")
+
+def grid_sql(size: int, inner: str, value: str = "sum(v)") -> str:
+    return f"WITH {E8} SELECT id, o.i, o.j, round({value}, 5) AS v FROM (SELECT i, j FROM range({size}) a(i), range({size}) b(j)) o JOIN m ON {inner} GROUP BY id, o.i, o.j"
+
+
+@query(grid_sql(10, "m.i BETWEEN o.i - 2 AND o.i AND m.j BETWEEN o.j - 2 AND o.j", "sum(v * (1 + (m.i - o.i + 2) * 3 + m.j - o.j + 2))"))
 def conv_full(spark, sf_dir):
-    return grid(spark, grids.correlate_full(GRID5, np.ones((3, 3))))
+    return grid_query(spark, sf_dir, lambda m: grids.correlate_full(m, KERNEL))
 
 
-@query(f"WITH {M5} SELECT o.i, o.j, sum(v * (1 + (m.i - o.i) * 3 + m.j - o.j)) AS v FROM (SELECT i, j FROM range(3) a(i), range(3) b(j)) o JOIN m ON m.i BETWEEN o.i AND o.i + 2 AND m.j BETWEEN o.j AND o.j + 2 GROUP BY o.i, o.j")
+@query(grid_sql(6, "m.i BETWEEN o.i AND o.i + 2 AND m.j BETWEEN o.j AND o.j + 2", "sum(v * (1 + (m.i - o.i) * 3 + m.j - o.j))"))
 def conv_valid(spark, sf_dir):
-    return grid(spark, grids.correlate_valid(GRID5, np.arange(1.0, 10).reshape(3, 3)))
+    return grid_query(spark, sf_dir, lambda m: grids.correlate_valid(m, KERNEL))
+
+
+@query(f"WITH {E8}, c AS (SELECT id, i // 4 AS b, i % 4 AS r, j, v FROM m WHERE j < 4) SELECT id, o.i, o.j, round(sum(v * (1 + b * 4 + (r - o.i) * 2 + c.j - o.j)), 5) AS v FROM (SELECT i, j FROM range(3) a(i), range(3) b(j)) o JOIN c ON r BETWEEN o.i AND o.i + 1 AND c.j BETWEEN o.j AND o.j + 1 GROUP BY id, o.i, o.j")
+def conv_batch(spark, sf_dir):
+    """Two layers of 4 x 4 cells with a kernel of two layers."""
+    kernel = np.arange(1.0, 9).reshape(2, 2, 2)
+    return grid_query(spark, sf_dir, lambda m: np.stack([grids.convolve_valid(g[:, :4].reshape(2, 4, 4), kernel) for g in m]))
 
 
-@query(f"WITH {M5} SELECT 4 - i AS i, 4 - j AS j, v FROM m")
+@query(f"WITH {E8} SELECT id, 7 - i AS i, 7 - j AS j, round(v, 5) AS v FROM m")
 def rot180(spark, sf_dir):
-    return grid(spark, grids.rot180(GRID5))
+    return grid_query(spark, sf_dir, grids.rot180)
 
 
-@query("SELECT i // 2 AS i, j // 2 AS j, avg(i * 16 + j + 1) AS v FROM range(16) a(i), range(16) b(j) GROUP BY 1, 2")
+@query(f"WITH {E8} SELECT id, i // 2 AS i, j // 2 AS j, round(avg(v), 5) AS v FROM m GROUP BY 1, 2, 3")
 def mean_pool(spark, sf_dir):
-    return grid(spark, grids.mean_pool(GRID16, 2, 2))
+    return grid_query(spark, sf_dir, lambda m: grids.mean_pool(m, 2, 2))
 
 
-@query(f"WITH {M5} SELECT a.i, b.j, v FROM range(10) a(i), range(10) b(j) JOIN m ON m.i = a.i // 2 AND m.j = b.j // 2")
+@query(f"WITH {E8} SELECT id, a.i, b.j, round(v, 5) AS v FROM range(16) a(i), range(16) b(j) JOIN m ON m.i = a.i // 2 AND m.j = b.j // 2")
 def kronecker(spark, sf_dir):
-    return grid(spark, grids.kronecker(GRID5, 2, 2))
+    return grid_query(spark, sf_dir, lambda m: grids.kronecker(m, 2, 2))
 
 
-@query(f"WITH {M5} SELECT i, j, (v - 1) * -j AS v FROM m")
+@query(f"WITH {E8} SELECT id, i, j, round((v - 1) * -j, 5) + 0.0 AS v FROM m")
 def binary_op(spark, sf_dir):
-    return grid(spark, grids.combine(GRID5, np.tile(np.arange(5.0), (5, 1)), np.multiply, lambda a: a - 1, lambda b: -b) + 0.0)
+    return grid_query(spark, sf_dir, lambda m: grids.combine(m, np.tile(np.arange(8.0), (8, 1)), np.multiply, lambda a: a - 1, lambda b: -b))
 
 
-@query("SELECT k AS label, round(-k * 0.1 + ln((SELECT sum(exp(x * 0.1)) FROM range(10) g(x))), 6) AS loss FROM range(10) t(k)")
+@query(f"WITH {E8} SELECT id, i, j, round(1 / (1 + exp(-v)), 5) AS v FROM m")
+def unary_op(spark, sf_dir):
+    return grid_query(spark, sf_dir, lambda m: grids.apply(m, grids.sigmoid))
+
+
+@query(f"WITH {E8} SELECT id, 0::BIGINT AS i, 0::BIGINT AS j, round(sum(v), 5) AS v FROM m GROUP BY id")
+def matrix_sum(spark, sf_dir):
+    return grid_query(spark, sf_dir, lambda m: np.array([[[grids.matrix_sum(g)]] for g in m]))
+
+
+@query("SELECT vec_id AS id, list_position(embedding, list_max(embedding))::INT - 1 AS tag, round(-embedding[label % 10 + 1] + ln(list_sum(list_transform(embedding[1:10], lambda v: exp(v::DOUBLE)))), 5) AS loss, list_sum(list_transform(range(8), lambda i: CASE WHEN embedding[i + 1] >= 0.500000001 THEN 1 << (7 - i)::INT ELSE 0 END))::BIGINT AS bits FROM embeddings WHERE label IS NOT NULL")
 def softmax_loss(spark, sf_dir):
-    return spark.createDataFrame([(k, round(grids.softmax_loss(np.arange(10) * 0.1, k), 6)) for k in range(10)], "label long, loss double")
+    """Argmax of each embedding, softmax loss of its first ten values at its label, the number of its first eight as bits."""
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            x, y = loop.vectors_of(b), b.column("label").to_numpy()
+            loss = [round(grids.softmax_loss(v[:10], t % 10), 5) for v, t in zip(x, y)]
+            yield pa.RecordBatch.from_pydict({"id": b.column("id"), "tag": b.column("tag"), "loss": pa.array(loss, pa.float64()), "bits": pa.array([grids.bits_to_int(v[:8]) for v in x], pa.int64())})
+
+    e = table(spark, sf_dir, "embeddings").where("label is not null").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x"), "label")
+    return e.withColumn("tag", V.argmax(F.col("x"))).mapInArrow(run, "id long, tag int, loss double, bits long")
+
+
+@query("WITH p AS (SELECT vec_id AS id, list_transform(embedding[1:4], lambda v: v::DOUBLE) AS x FROM embeddings) SELECT id, j, round(x[1] * (1 + j) + x[2] * (2 + j) + x[3] * (3 + j) + x[4] * (4 + j), 6) AS v FROM p, range(3) g(j)")
+def vector_times_matrix(spark, sf_dir):
+    """The first four values of each embedding times a 4 x 3 matrix."""
+    m = np.arange(1.0, 5)[:, None] + np.arange(3)
+    out = V.times_matrix(F.slice("x", 1, 4), m.T)
+    return embeddings(spark, sf_dir).select("id", F.posexplode(out).alias("j", "v")).select("id", F.col("j").cast("long").alias("j"), F.round("v", 6).alias("v"))
 
 
 # ---- clustering fits
@@ -344,6 +449,46 @@ def kmeans_flexible_vclock(spark, sf_dir):
     return trace(spark, loop.fit(tasked(spark, sf_dir), models.KMeans(3), config(3, flexible())))
 
 
+BLOCK_REST = [None] + [f"pos.pos // (pos.n // 4) = {b}" for b in range(5)]
+
+
+@query(trace_sql("kmeans", 3, BLOCK_REST, [1, 6]))
+def kmeans_block_remainder(spark, sf_dir):
+    """Blocks of a quarter of a task, rounded down, and a barrier for the rest (one point at 125 a task)."""
+    return trace(spark, loop.fit(tasked(spark, sf_dir), models.KMeans(3), config(2, loop.Block(4, remainder=True))))
+
+
+@query("WITH t AS (SELECT (rn * 4 // total)::INT AS task, count(*) AS n FROM (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS rn, count(*) OVER () AS total FROM embeddings) GROUP BY 1) SELECT s::INT AS superstep, sum(CASE WHEN s = 1 THEN n WHEN task = 0 THEN 40 ELSE 125 END)::BIGINT AS points FROM t, range(1, 4) g(s) GROUP BY s")
+def kmeans_points(spark, sf_dir):
+    """The points of each superstep: all, then the quotas."""
+    r = loop.fit(tasked(spark, sf_dir), models.KMeans(3), config(3, flexible()))
+    return r.metrics(spark).select("superstep", "points")
+
+
+TUNED = [None] + [f"(pos.pos >= floor({a}) AND pos.pos < floor({a}) + floor({b}))" for a, b in (("0", "pos.n / 2.0"), ("pos.n / 2.0", "pos.n / 4.0"))]
+
+
+@query(trace_sql("kmeans", 3, TUNED, [1, 2, 3]))
+def kmeans_tuned(spark, sf_dir):
+    """The interval starts as half of the first superstep and is halved while the objective falls."""
+    sync = loop.Flexible(None, [125.0] * 4, tuner=tuning.IntervalTuner())
+    return trace(spark, loop.fit(tasked(spark, sf_dir), models.KMeans(3), config(3, sync)))
+
+
+@query(trace_sql("kmeans", 3, [None] * 3, [1, 2, 3]))
+def kmeans_recovered(spark, sf_dir):
+    """Superstep 3 is lost once; the fit goes on from the checkpoint after superstep 2."""
+    c = loop.FitConfig(3, checkpoint=tuning.Checkpoints(2), fail_at=3)
+    return trace(spark, loop.fit(embeddings(spark, sf_dir), models.KMeans(3), c))
+
+
+@query(trace_sql("kmeans", 3, [None] + [f"pos.pos * 2 // pos.n = {b}" for b in range(2)], [1, 3]).replace("pos AS (SELECT id, x, total, task0 AS task, rn - min(rn) OVER (PARTITION BY task0) AS pos, count(*) OVER (PARTITION BY task0) AS n FROM tp)", "pos0 AS (SELECT id, x, total, task0, rn - min(rn) OVER (PARTITION BY task0) AS pos0, count(*) OVER (PARTITION BY task0) AS n0 FROM tp), pos1 AS (SELECT *, CASE WHEN task0 = 0 AND pos0 >= n0 - n0 // 6 * 3 THEN 4 ELSE task0 END AS task FROM pos0), pos AS (SELECT id, x, total, task, row_number() OVER (PARTITION BY task ORDER BY id) - 1 AS pos, count(*) OVER (PARTITION BY task) AS n FROM pos1)"))
+def kmeans_migrated(spark, sf_dir):
+    """Half of task 0 moves to task 4, which had no points, before superstep 2 of two blocks a task."""
+    c = config(2, loop.Block(2), tasks=8, migrate={2: 0}, migrate_chunk=1 << 40)
+    return trace(spark, loop.fit(tasked(spark, sf_dir), models.KMeans(3), c))
+
+
 @query(fit_sql("kmeans", 3, flexible_windows(3)) + "SELECT j::INT AS j, round(sum(w), 4) AS r FROM t3 GROUP BY j")
 def kmeans_delta_identity(spark, sf_dir):
     """The merged aggregate is the sum of all last contributions."""
@@ -406,6 +551,25 @@ def gmm_trace(spark, sf_dir):
     return trace(spark, loop.fit(embeddings(spark, sf_dir), models.GaussianMixture(3), config(3)))
 
 
+@query(trace_sql("fcm", 3, BLOCKS, [1, 5]))
+def fcm_block(spark, sf_dir):
+    return trace(spark, loop.fit(tasked(spark, sf_dir), models.FuzzyCMeans(3), config(2, loop.Block(4))))
+
+
+@query(trace_sql("gmm", 3, BLOCKS, [1, 5]))
+def gmm_block(spark, sf_dir):
+    return trace(spark, loop.fit(tasked(spark, sf_dir), models.GaussianMixture(3), config(2, loop.Block(4))))
+
+
+@query(fit_sql("gmm", 3, [None] * 2) + "SELECT t2.id, round(max(t2.o) - max(t1.o), 4) AS delta FROM t2 JOIN t1 ON t1.id = t2.id GROUP BY t2.id")
+def gmm_likelihood_delta(spark, sf_dir):
+    """What each point adds to the log-likelihood in the second superstep."""
+    e, m = embeddings(spark, sf_dir), models.GaussianMixture(3)
+    p1 = m.init(e)
+    p2 = loop.fit(e, m, config(1)).params
+    return e.select("id", F.round(models.log_likelihood_delta(m.project(p2)[1], m.project(p1)[1]), 4).alias("delta"))
+
+
 @query(trace_sql("gmm", 3, flexible_windows(3), [1, 2, 3]))
 def gmm_flexible_vclock(spark, sf_dir):
     return trace(spark, loop.fit(tasked(spark, sf_dir), models.GaussianMixture(3), config(3, flexible())))
@@ -454,10 +618,24 @@ def logreg_predict(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.round(F.avg(V.sigmoid(V.dot(x, V.vector([0.5, -0.25])))), 6).alias("p"))
 
 
-@query()
+def logreg_block_sql() -> str:
+    parts = ["r AS (SELECT o_totalprice / 500000 AS a, (o_orderkey % 97) / 97.0 AS b, CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END AS y, row_number() OVER (ORDER BY o_orderkey) - 1 AS rn, count(*) OVER () AS total FROM orders)",
+             "q AS (SELECT *, CASE WHEN rn < total % 4 * (total // 4 + 1) THEN rn // (total // 4 + 1) ELSE total % 4 + (rn - total % 4 * (total // 4 + 1)) // (total // 4) END AS task FROM r)",
+             "w AS (SELECT *, rn - min(rn) OVER (PARTITION BY task) AS pos, count(*) OVER (PARTITION BY task) AS n FROM q)", "t0 AS (SELECT 0.0::DOUBLE AS a, 0.0::DOUBLE AS b)"]
+    for s, window in enumerate(["true"] + [f"pos * 4 // n = {b}" for b in range(4)], 1):
+        parts.append(f"p{s} AS (SELECT w.*, 1 / (1 + exp(-(w.a * t.a + w.b * t.b))) AS p FROM w CROSS JOIN t{s - 1} t WHERE {window})")
+        parts.append(f"g{s} AS (SELECT avg((p - y) * a) AS a, avg((p - y) * b) AS b, sum(-(y * ln(p) + (1 - y) * ln(1 - p))) AS loss FROM p{s})")
+        parts.append(f"t{s} AS (SELECT t.a - 0.1 * g.a AS a, t.b - 0.1 * g.b AS b FROM t{s - 1} t CROSS JOIN g{s} g)")
+    return "WITH " + ", ".join(parts) + " SELECT 1::INT AS superstep, round(loss, 3) AS objective FROM g1 UNION ALL SELECT 2, round(sum(loss), 3) FROM (" + " UNION ALL ".join(f"SELECT loss FROM g{s}" for s in range(2, 6)) + ")"
+
+
+@query(logreg_block_sql())
 def logreg_block(spark, sf_dir):
-    df = prep.tasks_by_position(returns(spark, sf_dir).withColumn("id", F.monotonically_increasing_id()), 4, ["id"])
-    return trace(spark, loop.fit(store(df), models.LogisticRegression(0.1), config(2, loop.Block(4))))
+    y = F.when(F.col("o_orderstatus") == "F", 1.0).otherwise(0.0)
+    x = F.array(F.col("o_totalprice") / 500_000, (F.col("o_orderkey") % 97) / 97.0, y)
+    df = store(prep.tasks_by_position(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), x.alias("x")), 4, ["id"]))
+    r = loop.fit(df, models.LogisticRegression(0.1), config(2, loop.Block(4)))
+    return r.metrics(spark).select("superstep", F.round("objective", 3).alias("objective"))
 
 
 NMF_H = np.array([[0.1 + ((i * 5 + j * 3) % 7) / 7 for j in range(4)] for i in range(2)])
@@ -475,12 +653,14 @@ def nmf_loss(spark, sf_dir):
     return spark.createDataFrame([(round(models.nmf_loss(nmf_rows(spark, sf_dir), NMF_H), 4),)], "loss double")
 
 
-def nmf_sql(steps: int) -> str:
+def nmf_sql(steps: int, rate: float | None = None) -> str:
+    """Multiplicative steps, or with a rate gradient ones."""
+    w_step, h_step = ("w * n / d", "h * n / d") if rate is None else (f"w + {rate} * (n - d)", f"h + {rate} * (n - d)")
     parts = [NMF_V]
     for s in range(1, steps + 1):
         a = s - 1
-        parts.append(f"x{s} AS (SELECT id, r, sum(v * h) AS n FROM v JOIN h{a} USING (j) GROUP BY id, r), hh{s} AS (SELECT a.r, b.r AS q, sum(a.h * b.h) AS m FROM h{a} a JOIN h{a} b USING (j) GROUP BY a.r, b.r), y{s} AS (SELECT id, q AS r, sum(w * m) AS d FROM w{a} w JOIN hh{s} USING (r) GROUP BY id, q), w{s} AS (SELECT id, r, w * n / d AS w FROM w{a} JOIN x{s} USING (id, r) JOIN y{s} USING (id, r))")
-        parts.append(f"wv{s} AS (SELECT r, j, sum(w * v) AS n FROM w{s} JOIN v USING (id) GROUP BY r, j), ww{s} AS (SELECT a.r, b.r AS q, sum(a.w * b.w) AS m FROM w{s} a JOIN w{s} b USING (id) GROUP BY a.r, b.r), wh{s} AS (SELECT q AS r, j, sum(m * h) AS d FROM ww{s} JOIN h{a} USING (r) GROUP BY q, j), h{s} AS (SELECT r, j, h * n / d AS h FROM h{a} JOIN wv{s} USING (r, j) JOIN wh{s} USING (r, j))")
+        parts.append(f"x{s} AS (SELECT id, r, sum(v * h) AS n FROM v JOIN h{a} USING (j) GROUP BY id, r), hh{s} AS (SELECT a.r, b.r AS q, sum(a.h * b.h) AS m FROM h{a} a JOIN h{a} b USING (j) GROUP BY a.r, b.r), y{s} AS (SELECT id, q AS r, sum(w * m) AS d FROM w{a} w JOIN hh{s} USING (r) GROUP BY id, q), w{s} AS (SELECT id, r, {w_step} AS w FROM w{a} JOIN x{s} USING (id, r) JOIN y{s} USING (id, r))")
+        parts.append(f"wv{s} AS (SELECT r, j, sum(w * v) AS n FROM w{s} JOIN v USING (id) GROUP BY r, j), ww{s} AS (SELECT a.r, b.r AS q, sum(a.w * b.w) AS m FROM w{s} a JOIN w{s} b USING (id) GROUP BY a.r, b.r), wh{s} AS (SELECT q AS r, j, sum(m * h) AS d FROM ww{s} JOIN h{a} USING (r) GROUP BY q, j), h{s} AS (SELECT r, j, {h_step} AS h FROM h{a} JOIN wv{s} USING (r, j) JOIN wh{s} USING (r, j))")
         parts.append(f"f{s} AS (SELECT sum((v - f) * (v - f)) AS loss FROM v JOIN (SELECT id, j, sum(w * h) AS f FROM w{s} JOIN h{s} USING (r) GROUP BY id, j) USING (id, j))")
     return "WITH " + ", ".join(parts) + " " + " UNION ALL ".join(f"SELECT {s}::INT AS superstep, round(loss, 4) AS loss FROM f{s}" for s in range(1, steps + 1))
 
@@ -491,24 +671,42 @@ def nmf_mu_it3(spark, sf_dir):
     return trace(spark, r).withColumnRenamed("objective", "loss")
 
 
-@query()
+@query(nmf_sql(3, 1e-4))
 def nmf_gd_trace(spark, sf_dir):
     r = loop.fit(nmf_rows(spark, sf_dir), models.NMF(NMF_H, rate=1e-4), config(3))
     return trace(spark, r).withColumnRenamed("objective", "loss")
 
 
+def images(spark, sf_dir) -> DataFrame:
+    x = F.slice(F.flatten(F.array_repeat(F.col("embedding").cast("array<double>"), 13)), 1, 784)
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), x.alias("x"), "label")
+
+
 @query()
 def cnn_train_step(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    x = F.slice(F.flatten(F.array_repeat(F.col("embedding").cast("array<double>"), 13)), 1, 784)
-    history = cnn.train(e.select(x.alias("x"), "label"), 2)[1]
+    history = cnn.train(images(spark, sf_dir), 2)[1]
     return spark.createDataFrame([(h["superstep"], round(float(h["loss"]), 6), float(h["accuracy"]), h["records"]) for h in history], "superstep int, loss double, accuracy double, records long")
 
 
-@query()
+@query("SELECT 2 AS tasks, 3 AS supersteps, (SELECT count(*) FROM embeddings) AS first, true AS at_least_one, true AS agreed")
 def kmeans_wall_clock(spark, sf_dir):
+    """What holds at any speed: all points at first, one at least in every superstep, one objective for all tasks."""
     e = embeddings(spark, sf_dir)
-    return barrier.kmeans_by_clock(e, models.first_points(e, 3), 3, 0.05, 2)
+    r = barrier.kmeans_by_clock(e, models.first_points(e, 3), 3, 0.05, 2)
+    each = r.groupBy("superstep").agg(F.sum("points").alias("points"), F.min("points").alias("least"), F.count("*").alias("tasks"), F.countDistinct("objective").alias("values"))
+    first = F.sum(F.when(F.col("superstep") == 1, F.col("points")))
+    return each.agg(F.max("tasks").alias("tasks"), F.count("*").alias("supersteps"), first.alias("first"), (F.min("least") > 0).alias("at_least_one"), (F.max("values") == 1).alias("agreed"))
+
+
+@query("SELECT vec_id AS id, label, true AS bounded FROM embeddings WHERE label BETWEEN 0 AND 9")
+def cnn_outputs(spark, sf_dir):
+    """The trained network written and read back, and its outputs: losses within their bounds."""
+    path = f"{checkpoint_dir(spark)}/network.{uuid.uuid4().hex}"
+    records = images(spark, sf_dir)
+    cnn.write_network(spark, cnn.train(records, 1)[0], path)
+    out = cnn.outputs(records, cnn.read_network(spark, path))
+    bounded = F.col("predicted").between(0, 9) & F.col("loss").between(0, 5) & F.col("softmax_loss").between(1.4, 3.4)
+    return out.select("id", "label", bounded.alias("bounded"))
 
 
 # ---- metrics
@@ -542,33 +740,102 @@ def msg_combine_sum(spark, sf_dir):
     return metrics.combined_messages(table(spark, sf_dir, "events"), "user_id", "value").withColumn("value", F.round("value", 4))
 
 
-@query("SELECT v::DOUBLE AS overhead, p::DOUBLE AS point, floor(300 * sqrt(v::DOUBLE / p)) AS size FROM (VALUES (4.0, 1.0), (9.0, 0.25), (2.0, 3.0)) t(v, p)")
+@query(f"SELECT job_id, superstep, count(*) AS tasks, max(run_ms) AS compute_ms, round(avg(sync_ms), 4) AS sync_ms FROM {ONCE} GROUP BY 1, 2")
+def barrier_times(spark, sf_dir):
+    t = metrics.barrier_times(table(spark, sf_dir, "task_reports"))
+    return t.withColumn("sync_ms", F.round("sync_ms", 4))
+
+
+@query(f"SELECT job_id, floor(300 * sqrt(avg(sync_ms) / avg(run_ms / points_read)))::BIGINT AS size FROM {ONCE} WHERE points_read > 0 AND run_ms > 0 AND sync_ms IS NOT NULL GROUP BY job_id")
 def block_size_formula(spark, sf_dir):
-    return spark.createDataFrame([(v, p, float(tuning.block_size(v, p))) for v, p in ((4.0, 1.0), (9.0, 0.25), (2.0, 3.0))], "overhead double, point double, size double")
+    """The block size of every job from its reports: mean wait and mean time of a point."""
+    r = metrics.once(table(spark, sf_dir, "task_reports")).where("points_read > 0 and run_ms > 0 and sync_ms is not null")
+    means = r.groupBy("job_id").agg(F.avg("sync_ms").alias("overhead"), F.avg(F.col("run_ms") / F.col("points_read")).alias("point"))
+    return means.select("job_id", tuning.block_size_column(F.col("overhead"), F.col("point")).alias("size"))
 
 
-@query("SELECT s::INT AS superstep, s % 3 = 0 AS fixed FROM range(1, 10) g(s)")
+STEPS = f"""b AS (SELECT job_id, superstep, coalesce(max(run_ms), 0)::DOUBLE AS run, coalesce(avg(sync_ms), 0)::DOUBLE AS sync, sum(CASE WHEN task_agg IS NULL OR isnan(task_agg) THEN 0.0 ELSE task_agg END) AS o FROM {ONCE} GROUP BY 1, 2),
+h AS (SELECT job_id, superstep, row_number() OVER w AS s, run, sync, coalesce(lag(o) OVER w - o, 0)::DOUBLE AS p FROM b WINDOW w AS (PARTITION BY job_id ORDER BY superstep))"""
+
+
+def by_job(spark, sf_dir, step, schema: str) -> DataFrame:
+    """``step`` over the supersteps of each job in order; a job's barriers are few rows."""
+    r = table(spark, sf_dir, "task_reports")
+    times, objective = metrics.barrier_times(r), metrics.objective_history(r)
+    rows = objective.join(times, ["job_id", "superstep"]).select("job_id", "superstep", "progress", F.coalesce("compute_ms", F.lit(0)).cast("double").alias("run"), F.coalesce("sync_ms", F.lit(0.0)).alias("sync"))
+    return rows.groupBy("job_id").applyInPandas(lambda g: step(g.sort_values("superstep").reset_index(drop=True)), schema)
+
+
+@query(f"""WITH RECURSIVE {STEPS}, t AS (SELECT job_id, s, superstep, s % 3 = 0 AS fixed, false AS dynamic, 0 AS last, 0.0::DOUBLE AS recovery, run AS clock FROM h WHERE s = 1
+UNION ALL SELECT h.job_id, h.s, h.superstep, h.s % 3 = 0, h.s - t.last >= 3 AND 2000 <= t.clock + h.run, CASE WHEN h.s - t.last >= 3 AND 2000 <= t.clock + h.run THEN h.s ELSE t.last END, t.clock + h.run, CASE WHEN h.s - t.last >= 3 AND 2000 <= t.clock + h.run THEN -2000.0 ELSE t.clock + h.run END FROM t JOIN h ON h.job_id = t.job_id AND h.s = t.s + 1) SELECT job_id, superstep, fixed, dynamic FROM t""")
 def checkpoint_policy(spark, sf_dir):
-    c = tuning.Checkpoints(3)
-    return spark.createDataFrame([(s, c.due(s)) for s in range(1, 10)], "superstep int, fixed boolean")
+    """Both policies over every job's supersteps, with archives of 2 s and supersteps as long as their slowest task."""
+    def step(g):
+        fixed, dynamic, recovery, out = tuning.Checkpoints(3), tuning.Checkpoints(3, "dynamic"), 0.0, []
+        for i, r in enumerate(g.itertuples(), 1):
+            recovery += r.run
+            out.append((fixed.due(i), dynamic.due(i, 2000.0, recovery)))
+            recovery = -2000.0 if out[-1][1] else recovery
+        return g[["job_id", "superstep"]].assign(fixed=[o[0] for o in out], dynamic=[o[1] for o in out])
+
+    return by_job(spark, sf_dir, step, "job_id string, superstep int, fixed boolean, dynamic boolean")
 
 
-@query("SELECT * FROM (VALUES (1, false), (2, false), (3, true), (4, false), (5, false), (6, false), (7, true), (8, false), (9, false)) t(superstep, dynamic)")
-def checkpoint_policy_dynamic(spark, sf_dir):
-    """Supersteps of 1 s and archives of 2 s: the second checkpoint waits until recovery costs as much."""
-    c, rows, archive, recovery = tuning.Checkpoints(3, "dynamic"), [], 0.0, 0.0
-    for s in range(1, 10):
-        recovery += 1.0
-        rows.append((s, c.due(s, archive, recovery)))
-        if rows[-1][1]:
-            archive, recovery = 2.0, -2.0
-    return spark.createDataFrame(rows, "superstep int, dynamic boolean")
+REAL = "h.p * (2 - (t.waits + h.sync) / (t.n + 1) / t.i)"
 
 
-@query("SELECT * FROM (VALUES (1, 500.0), (2, 250.0), (3, 125.0), (4, 187.5), (5, 187.5)) t(superstep, interval_ms)")
+@query(f"""WITH RECURSIVE {STEPS}, t AS (SELECT job_id, s, superstep, greatest(run, 1) / 2 AS i, 0.0::DOUBLE AS target, false AS frozen, 0.0::DOUBLE AS waits, 0 AS n FROM h WHERE s = 1
+UNION ALL SELECT h.job_id, h.s, h.superstep, CASE WHEN t.frozen THEN t.i WHEN {REAL} <= t.target THEN 1.5 * t.i ELSE t.i / 2 END, CASE WHEN t.frozen OR {REAL} <= t.target THEN t.target ELSE h.p END, t.frozen OR {REAL} <= t.target, CASE WHEN t.frozen THEN t.waits ELSE t.waits + h.sync END, CASE WHEN t.frozen THEN t.n ELSE t.n + 1 END FROM t JOIN h ON h.job_id = t.job_id AND h.s = t.s + 1) SELECT job_id, superstep, round(i, 4) AS interval_ms FROM t""")
 def interval_tuner_trace(spark, sf_dir):
-    t = tuning.IntervalTuner()
-    return spark.createDataFrame([(s, t.step(s, 1000.0, p)) for s, p in ((1, 0.0), (2, 100.0), (3, 80.0), (4, 20.0), (5, 10.0))], "superstep int, interval_ms double")
+    """The barrier interval that the tuner sets after every superstep of every job."""
+    def step(g):
+        t = tuning.IntervalTuner()
+        return g[["job_id", "superstep"]].assign(interval_ms=[round(t.step(i, max(r.run, 1.0), r.progress, r.sync), 4) for i, r in enumerate(g.itertuples(), 1)])
+
+    return by_job(spark, sf_dir, step, "job_id string, superstep int, interval_ms double")
+
+
+# ---- messages
+
+EDGES = "e AS (SELECT user_id AS src, event_id % 50 AS dst FROM events WHERE user_id IS NOT NULL)"
+
+
+def graph(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    ev = table(spark, sf_dir, "events").where("user_id is not null")
+    return ev.select(F.col("user_id").alias("id")).distinct().withColumn("v", F.col("id") % 13 + 1), ev.select(F.col("user_id").alias("src"), (F.col("event_id") % 50).alias("dst"))
+
+
+@query(f"WITH {EDGES} SELECT dst AS id, sum(src % 13 + 1)::BIGINT AS value FROM e GROUP BY dst")
+def msg_pull_sum(spark, sf_dir):
+    v, e = graph(spark, sf_dir)
+    return messages.pulled(v, e, "v")
+
+
+@query(f"WITH {EDGES} SELECT dst // 10 AS task, count(*) AS n FROM e GROUP BY 1")
+def msg_push_by_task(spark, sf_dir):
+    routes = [(t, 10 * t) for t in range(5)]
+    sent = messages.pushed(graph(spark, sf_dir)[1], routes, "dst").groupBy("task").agg(F.count("*").alias("n"))
+    return sent.withColumn("task", F.col("task").cast("long"))
+
+
+@query(f"WITH {EDGES} SELECT src // 16 AS block, count(DISTINCT src) AS vertices, min(src) AS min_id, max(src) AS max_id, count(*) AS edges, count(DISTINCT src) AS fragments FROM e GROUP BY 1")
+def vertex_blocks(spark, sf_dir):
+    return messages.block_metadata(*graph(spark, sf_dir), 16)
+
+
+@query(f"WITH {EDGES}, v AS (SELECT DISTINCT src FROM e) SELECT 'update' AS rule, count(*) AS n FROM v UNION ALL SELECT 'skip', 0 UNION ALL SELECT 'msg_depend', count(*) FROM v WHERE src IN (SELECT dst FROM e)")
+def active_vertices(spark, sf_dir):
+    v, e = graph(spark, sf_dir)
+    parts = [messages.active(v, r, e.select(F.col("dst").alias("id"))).agg(F.lit(r).alias("rule"), F.count("*").alias("n")) for r in (messages.UPDATE, messages.SKIP, messages.MSG_DEPEND)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("SELECT count(*) AS rows, sum(l_quantity)::DOUBLE AS quantity FROM lineitem")
+def counters(spark, sf_dir):
+    """Counters that fill while something else runs over the rows."""
+    df, seen = metrics.counted(table(spark, sf_dir, "lineitem"), quantity=F.col("l_quantity"))
+    df.agg(F.max("l_tax")).collect()
+    return spark.createDataFrame([(seen.get["rows"], seen.get["quantity"])], "rows long, quantity double")
 
 
 @query("SELECT count(*) AS n, round(sum(list_sum(list_transform(embedding, lambda v: v::DOUBLE))), 4) AS s FROM embeddings")
