@@ -4,8 +4,13 @@ Vectors are scattered to shards (see ``shards``). In a shard, exact copies are c
 vector with its ids; a graph over the distinct vectors is built and searched from each of them (see
 ``graph``), and the distances of what the search met are computed again exactly and rounded to
 ``DECIMALS`` decimals. A query that visited other shards is finished by ranking the answers of all of
-them. Ids as near as the k-th all count, copies included. If the k-th distance fills the whole beam
-with ties, the query is compared with its whole shard instead.
+them. For pairs, ids as near as the k-th all count, copies included; if the k-th distance fills the
+whole beam with ties, the query is compared with its whole shard instead.
+
+``nearest`` has no radius that bounds the visits. There every vector is searched at home first; then, if
+the ball of its k-th distance found reaches into other shards, in the graphs of the ``VISITS`` nearest of
+those, and the answers are ranked together. It gives k neighbours to every id (ties to the least ids
+met), so a group of copies costs k rows an id and is searched once.
 
 Rows without an id or with an incomplete vector are left out; a repeated id counts once. With fewer
 than k other ids all of them are neighbours. A radius limits the neighbours to that distance.
@@ -32,6 +37,13 @@ CHUNK = 1 << 20
 
 SURE, CLOSED, PENDING = 0, 1, 2
 
+#: Other shards that a vector is searched in at most, the nearest first.
+VISITS = 8
+#: Visitors of one shard in one task.
+SLICE = 200_000
+#: Members of a shard that visitors are compared with to enter its graph.
+PIVOTS = 1024
+
 
 def collapse(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(first row of each distinct vector, the number of the distinct vector of each row)."""
@@ -99,7 +111,7 @@ def _expand(q: np.ndarray, c: np.ndarray, d: np.ndarray, start: np.ndarray, mult
         lo = hi
 
 
-def _shard(table: pa.Table, key: str, dims: list[str], k: int, radius: float, beam: int, pairs: bool) -> Iterator[pa.RecordBatch]:
+def _shard(table: pa.Table, key: str, dims: list[str], k: int, radius: float, beam: int) -> Iterator[pa.RecordBatch]:
     ids = table.column(key).to_numpy()
     home, is_open = (table.column(c).to_numpy() for c in ("home", "open"))
     _, once = np.unique(ids, return_index=True)
@@ -113,35 +125,34 @@ def _shard(table: pa.Table, key: str, dims: list[str], k: int, radius: float, be
     q, c, d = _near(u, mult, k, radius, beam)
     own = np.flatnonzero(mult > 1)
     q, c, d = np.concatenate([q, own]), np.concatenate([c, own]), np.concatenate([d, np.zeros(len(own))])
-    if pairs:  # both ends closed: the pair is final, and named from one side only
-        n = len(first)
-        key_of = np.minimum(q, c) * n + np.maximum(q, c)
-        named = np.argsort(key_of, kind="stable")
-        same = np.flatnonzero(key_of[named][1:] == key_of[named][:-1])
-        both = np.zeros(len(q), bool)
-        both[named[same + 1]] = True
-        sure_vec = np.ones(len(first), bool)
-        np.logical_and.at(sure_vec, inverse, closed)
-        keep = ~(both & sure_vec[q] & sure_vec[c])
-        q, c, d = q[keep], c[keep], d[keep]
+    # both ends closed: the pair is final, and named from one side only
+    n = len(first)
+    key_of = np.minimum(q, c) * n + np.maximum(q, c)
+    named = np.argsort(key_of, kind="stable")
+    same = np.flatnonzero(key_of[named][1:] == key_of[named][:-1])
+    both = np.zeros(len(q), bool)
+    both[named[same + 1]] = True
+    sure_vec = np.ones(len(first), bool)
+    np.logical_and.at(sure_vec, inverse, closed)
+    keep = ~(both & sure_vec[q] & sure_vec[c])
+    q, c, d = q[keep], c[keep], d[keep]
     for a, b, dd in _expand(q, c, d, start, mult, member):
         other = a != b
         a, b, dd = a[other], b[other], dd[other]
         kind = np.where(closed[a], np.where(closed[b], SURE, CLOSED), PENDING).astype(np.int8)
-        if pairs:
-            # copies name each pair from both sides
-            twin = (inverse[a] == inverse[b]) & (a > b) & (kind == SURE)
-            a, b, dd, kind = a[~twin], b[~twin], dd[~twin], kind[~twin]
+        # copies name each pair from both sides
+        twin = (inverse[a] == inverse[b]) & (a > b) & (kind == SURE)
+        a, b, dd, kind = a[~twin], b[~twin], dd[~twin], kind[~twin]
         yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b]), pa.array(dd), pa.array(kind)], names=["q", "n", "d2", "kind"])
 
 
-def _search(df: DataFrame, k: int, radius: float, key: str, dims: list[str], beam: int, leaf_rows: int, pairs: bool) -> DataFrame:
+def _search(df: DataFrame, k: int, radius: float, key: str, dims: list[str], beam: int, leaf_rows: int) -> DataFrame:
     rows = complete(df, key, dims)
     tree = sampled_tree(rows, leaf_rows, key, dims)
     spread = scatter(rows, tree, radius, k, key, dims)
 
     def run(table: pa.Table) -> pa.Table:
-        parts = list(_shard(table, key, dims, k, radius, beam, pairs))
+        parts = list(_shard(table, key, dims, k, radius, beam))
         schema = pa.schema([("q", pa.int64()), ("n", pa.int64()), ("d2", pa.float64()), ("kind", pa.int8())])
         return pa.Table.from_batches(parts, schema)
 
@@ -154,15 +165,140 @@ def _finished(found: DataFrame, k: int) -> DataFrame:
     return pending.withColumn("r", F.rank().over(W.partitionBy("q").orderBy("d2"))).where(F.col("r") <= k).drop("r")
 
 
-def nearest(df: DataFrame, k: int = 5, radius: float = float("inf"), key: str = "sample_id", dims: list[str] = DIMENSIONS, beam: int = 16, leaf_rows: int = LEAF_ROWS) -> DataFrame:
-    """(q, n, d2): of every id its k nearest others, and those as near as the k-th."""
-    found = _search(df, k, radius, key, dims, beam, leaf_rows, pairs=False)
-    return found.where(F.col("kind") != PENDING).select("q", "n", "d2").unionByName(_finished(found, k))
+def _ranked(q: np.ndarray, c: np.ndarray, d: np.ndarray, top: np.ndarray, many: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(offsets of n queries, ids, distances): the k + 1 nearest ids of each query from pairs (query, vector, squared
+    distance); top[c, : many[c]] are the least ids of a vector."""
+    times = many[c]
+    row = np.repeat(np.arange(len(q)), times)
+    inside = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+    ids, qq, dd = top[c[row], inside], q[row], d[row]
+    order = np.lexsort((ids, dd, qq))
+    ids, qq, dd = ids[order], qq[order], dd[order]
+    keep = np.arange(len(qq)) - np.searchsorted(qq, qq) <= k
+    counts = np.bincount(qq[keep], minlength=n)
+    return np.concatenate([[0], np.cumsum(counts)]), ids[keep], dd[keep]
+
+
+def _lists(offsets: np.ndarray, ids: np.ndarray, d: np.ndarray) -> pa.Array:
+    pairs = pa.StructArray.from_arrays([pa.array(d), pa.array(ids)], ["d2", "n"])
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pairs)
+
+
+def _beams(u: np.ndarray, v: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, vector, exact squared distance) of the vectors ``ids`` (-1 pads) that each query row of v met."""
+    q, col = np.nonzero(ids >= 0)
+    c = ids[q, col].astype(np.int64)
+    diff = v[q] - u[c]
+    return q, c, np.round(np.einsum("ij,ij->i", diff, diff), DECIMALS)
+
+
+def _at_home(leaf: int, table: pa.Table, key: str, dims: list[str], k: int, beam: int) -> pa.Table:
+    """A row for each id of a shard: its vector's number, the k + 1 nearest ids met there and the k-th distance; the
+    first row of a vector also has the vector, its graph edges and its k + 1 least ids."""
+    ids, once = np.unique(table.column(key).to_numpy(), return_index=True)
+    x = matrix(table, dims)[once]
+    first, of = collapse(x)
+    u, n = x[first], len(first)
+    member = np.argsort(of, kind="stable")  # ids ascend inside a vector
+    mult = np.bincount(of, minlength=n)
+    start = np.cumsum(mult) - mult
+    many = np.minimum(mult, k + 1)
+    top = ids[member[np.minimum(start[:, None] + np.arange(k + 1), len(ids) - 1)]]
+    y = (u - u.mean(0)).astype(np.float32)
+    edges, pool = graph.build(y)
+    q, c, d = [np.arange(n)], [np.arange(n)], [np.zeros(n)]
+    linked = np.flatnonzero((pool[:, 0] >= 0) & (mult <= k))  # k copies leave no room for others
+    for lo in range(0, len(linked), graph.BLOCK):
+        me = linked[lo : lo + graph.BLOCK]
+        met, _ = graph.beam_search(y, edges, y[me], pool[me], beam, 3, beam // 2)
+        met[met == me[:, None]] = -1
+        a, b, e = _beams(u, u[me], met)
+        q.append(me[a]), c.append(b), d.append(e)
+    offsets, near, dist = _ranked(*(np.concatenate(v) for v in (q, c, d)), top, many, n, k)
+    full = np.diff(offsets) == k + 1
+    kth = np.full(n, np.inf)
+    kth[full] = dist[offsets[1:][full] - 1]
+    whole = _lists(offsets, near, dist)
+    lead = np.zeros(len(ids), bool)
+    lead[member[start]] = True
+    once_only = lambda a: a.take(pa.array(of, mask=~lead))
+    width = edges.shape[1]
+    columns = {"leaf": np.full(len(ids), leaf, np.int32), "slot": of.astype(np.int32), "id": ids, "first": lead, "kth": kth[of], "near": whole.take(pa.array(of))}
+    columns |= {c: once_only(pa.array(u[:, i])) for i, c in enumerate(dims)}
+    columns["edges"] = once_only(pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(edges.ravel())))
+    columns["top"] = once_only(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32)), pa.array(top[np.arange(k + 1) < many[:, None]])))
+    return pa.table(columns)
+
+
+def _as_visitors(members: pa.Table, visitors: pa.Table, dims: list[str], k: int, beam: int) -> pa.Table:
+    """(home, slot, near): what visitors from other shards meet in the graph of this one, within their distance."""
+    if not members.num_rows or not visitors.num_rows:
+        return pa.table({"home": pa.array([], pa.int32()), "slot": pa.array([], pa.int32()), "near": _lists(np.zeros(1), np.zeros(0, np.int64), np.zeros(0))})
+    members = members.sort_by("slot")
+    u, v, n = matrix(members, dims), matrix(visitors, dims), members.num_rows
+    edges = members.column("edges").combine_chunks().flatten().to_numpy().reshape(n, -1).astype(np.int32)
+    lists = members.column("top").combine_chunks()
+    many = lists.value_lengths().to_numpy().astype(np.int64)
+    top = np.zeros((n, k + 1), np.int64)
+    top[np.arange(k + 1) < many[:, None]] = lists.flatten().to_numpy()
+    mid = u.mean(0)
+    y, z = (u - mid).astype(np.float32), (v - mid).astype(np.float32)
+    pivot = np.random.default_rng(1).permutation(n)[:PIVOTS].astype(np.int32)
+    p, kth, q, c, d = y[pivot], visitors.column("kth").to_numpy(), [], [], []
+    for lo in range(0, len(z), graph.BLOCK):
+        some = z[lo : lo + graph.BLOCK]
+        rough = (p * p).sum(1)[None] - 2 * some @ p.T
+        seeds = min(len(pivot), beam) // 2 or 1
+        begin = pivot[np.argpartition(rough, seeds - 1, axis=1)[:, :seeds]]
+        met, _ = graph.beam_search(y, edges, some, begin, beam, 3, beam // 2)
+        a, b, e = _beams(u, v[lo : lo + graph.BLOCK], met)
+        near = e <= kth[lo + a]
+        q.append(lo + a[near]), c.append(b[near]), d.append(e[near])
+    offsets, ids, dist = _ranked(*(np.concatenate(a) for a in (q, c, d)), top, many, len(v), k)
+    some = np.flatnonzero(np.diff(offsets))
+    return pa.table({"home": visitors.column("home").combine_chunks(), "slot": visitors.column("slot").combine_chunks(), "near": _lists(offsets, ids, dist)}).take(pa.array(some))
+
+
+def nearest(df: DataFrame, k: int = 5, key: str = "sample_id", dims: list[str] = DIMENSIONS, beam: int = 40, leaf_rows: int = LEAF_ROWS, visits: int = VISITS) -> DataFrame:
+    """(q, n, d2): of every id its k nearest others (all others if they are fewer)."""
+    rows = complete(df, key, dims)
+    tree = sampled_tree(rows, leaf_rows, key, dims)
+    spread = scatter(rows, tree, 0.0, None, key, dims).where("home")
+    vector, lists = ", ".join(f"`{c}` double" for c in dims), "near array<struct<d2:double,n:long>>"
+    schema = f"leaf int, slot int, id long, first boolean, kth double, {lists}, {vector}, edges array<int>, top array<long>"
+    local = store(spread.groupBy("leaf").applyInArrow(lambda g, t: _at_home(g[0].as_py(), t, key, dims, k, beam), schema))
+    shared = df.sparkSession.sparkContext.broadcast(tree)  # bounded by the sample
+
+    def elsewhere(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = shared.value
+        for b in batches:
+            x, home = matrix(b, dims), b.column("home").to_numpy()
+            row, leaf, gap = tree.gaps(x, np.sqrt(b.column("kth").to_numpy()))
+            away = leaf != home[row]
+            row, leaf, gap = row[away], leaf[away], gap[away]
+            order = np.lexsort((leaf, gap, row))
+            order = order[np.arange(len(order)) - np.searchsorted(row[order], row[order]) < visits]
+            out = b.take(pa.array(row[order]))
+            yield pa.RecordBatch.from_arrays([pa.array(leaf[order].astype(np.int32)), *out.columns], names=["leaf", *out.schema.names])
+
+    vectors = local.where("first")
+    away = store(vectors.select(F.col("leaf").alias("home"), "slot", "kth", *dims).mapInArrow(elsewhere, f"leaf int, home int, slot int, kth double, {vector}"))
+    # a shard with many visitors is searched in slices, each with its graph: one count for each shard
+    slices = {r.leaf: -(-r["count"] // SLICE) for r in away.groupBy("leaf").count().collect()}
+    parts = F.get(F.array(*[F.lit(slices.get(i, 1)) for i in range(tree.leaves)]), F.col("leaf"))
+    visitors = away.withColumn("part", F.pmod(F.xxhash64("home", "slot"), parts).cast("int"))
+    members = vectors.select("leaf", "slot", *dims, "edges", "top").withColumn("part", F.explode(F.sequence(F.lit(0), parts.cast("int") - 1)))
+    found = members.groupBy("leaf", "part").cogroup(visitors.groupBy("leaf", "part")).applyInArrow(lambda a, b: _as_visitors(a, b, dims, k, beam), f"home int, slot int, {lists}")
+    more = found.groupBy(F.col("home").alias("leaf"), "slot").agg(F.flatten(F.collect_list("near")).alias("more"))  # one list of each shard visited
+    own = local.select("leaf", "slot", "id", "near").join(more, ["leaf", "slot"], "left")
+    both = F.array_sort(F.array_distinct(F.concat("near", F.coalesce("more", F.slice("near", 1, 0)))))
+    best = F.slice(F.filter(both, lambda x: x["n"] != F.col("id")), 1, k)
+    return own.select(F.col("id").alias("q"), F.explode(best).alias("e")).select("q", "e.n", "e.d2")
 
 
 def nearest_pairs(df: DataFrame, k: int = 5, radius: float = float("inf"), key: str = "sample_id", dims: list[str] = DIMENSIONS, beam: int = 14, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """(a, b), a < b: the pairs of which at least one is among the k nearest of the other, once each."""
-    found = _search(df, k, radius, key, dims, beam, leaf_rows, pairs=True)
+    found = _search(df, k, radius, key, dims, beam, leaf_rows)
     sure = found.where(F.col("kind") == SURE).select(F.least("q", "n").alias("a"), F.greatest("q", "n").alias("b"))
     rest = found.where(F.col("kind") == CLOSED).select("q", "n").unionByName(_finished(found, k).select("q", "n"))
     return sure.unionByName(rest.select(F.least("q", "n").alias("a"), F.greatest("q", "n").alias("b")).distinct())

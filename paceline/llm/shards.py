@@ -64,20 +64,25 @@ class Tree:
 
     def visits(self, x: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf) of all leaves whose box is within the radius of the row."""
+        return self.gaps(x, radius)[:2]
+
+    def gaps(self, x: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, leaf, squared distance to its box) of all leaves whose box is within the radius of the row."""
         rows, node = np.arange(len(x)), np.zeros(len(x), np.int32)
-        out: list[tuple[np.ndarray, np.ndarray]] = []
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         while len(rows):
             leaf = self.dim[node] < 0
             if leaf.any():
                 r, n = rows[leaf], self.low[node[leaf]]
                 gap = np.maximum(np.maximum(self.box_low[n] - x[r], x[r] - self.box_high[n]), 0)
-                near = (gap * gap).sum(1) <= radius[r] ** 2 * (1 + 1e-9)
-                out.append((r[near], n[near]))
+                off = (gap * gap).sum(1)
+                near = off <= radius[r] ** 2 * (1 + 1e-9)
+                out.append((r[near], n[near], off[near]))
                 rows, node = rows[~leaf], node[~leaf]
             off = x[rows, self.dim[node]] - self.at[node]
             low, high = off <= radius[rows], off >= -radius[rows]
             rows, node = np.concatenate([rows[low], rows[high]]), np.concatenate([self.low[node[low]], self.high[node[high]]])
-        return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
+        return tuple(np.concatenate([o[i] for o in out]) for i in range(3)) if out else (np.zeros(0, int), np.zeros(0, np.int32), np.zeros(0))
 
 
 def fit_tree(sample: np.ndarray, leaves: int) -> Tree:
