@@ -266,6 +266,8 @@ def frequent_words(df: DataFrame, text: str, path: str = DEFAULT_VOCAB, limit: i
     parts = F.when(F.size("cut") > 1, F.transform("cut", lambda s: F.struct(s.alias("word"), F.lit(1).cast("long").alias("n"))))
     both = counted.withColumn("cut", cut).select(F.explode(F.concat(whole, F.coalesce(parts, F.slice(whole, 1, 0)))).alias("e")).select("e.*")
     best = both.groupBy("word").agg(F.sum("n").alias("n")).where((F.col("n") > 1) & (F.length("word") <= MAX_WORD_CHARS)).orderBy(F.desc("n"), "word").limit(limit)
+    # as many tasks as slots: the folds of one task would take most of the time
+    best = best.repartition(df.sparkSession.sparkContext.defaultParallelism)
     return best.select("word", "n", F.xxhash64("word").alias("hash"), let(tables(load_vocab(path)), lambda t: fold(F.col("word"), t)).alias("ids")).toArrow()
 
 

@@ -25,6 +25,8 @@ from paceline.llm.shards import DIMENSIONS, Tree, complete, matrix, sampled_tree
 from paceline.plans.lineage import cut, store
 
 LEAF_ROWS = 4_000
+#: Members of a cluster that are ranked in one group.
+SLICE = 50_000
 #: Rows of one block of the distance matrix.
 BLOCK = 512
 
@@ -196,8 +198,8 @@ def described(df: DataFrame, radius: float = 1.0, typical: int = 3, least: int =
     off = sum((F.pow(F.col(c) - F.col(f"m_{c}"), 2) for c in dims), F.lit(0.0))
     scored = members.join(means, "cluster_id").select("cluster_id", "size", F.round(off, DECIMALS).alias("d"), "id")
     # the best of each hash slice first, so that no cluster is sorted in one task
-    for slices in (64, 1):
-        w = W.partitionBy("cluster_id", "size", F.pmod(F.xxhash64("id"), F.lit(slices))).orderBy("d", "id")
+    for slices in (F.ceil(F.col("size") / SLICE), F.lit(1)):
+        w = W.partitionBy("cluster_id", "size", F.pmod(F.xxhash64("id"), slices)).orderBy("d", "id")
         scored = scored.withColumn("r", F.row_number().over(w)).where(F.col("r") <= typical).drop("r")
     best = scored.groupBy("cluster_id", "size").agg(F.array_sort(F.collect_list(F.struct("d", "id"))).alias("best"))
     return best.select("cluster_id", "size", F.transform("best", lambda s: s["id"]).alias("typical"))

@@ -1,8 +1,9 @@
 """A varied subset of given size: cluster features, Ward agglomeration, nearest records.
 
-Every partition summarises its vectors in at most ``ENTRIES`` cluster features (count, centroid): a
-vector joins the nearest feature within the threshold, else it starts one; when there are too many,
-the threshold grows and near features are absorbed into each other. The summaries are merged sixteen
+Every partition summarises its vectors in a bounded number of cluster features (count, centroid; the
+bound is ``ENTRIES``, or twice the groups wanted if that is more, and it is doubled if fewer entries
+than groups are left): a vector joins the nearest feature within the threshold, else it starts one; when
+there are too many, the threshold grows and near features are absorbed into each other. The summaries are merged sixteen
 at a time, level by level, until one is left: the leaf entries of the tree. They are agglomerated by Ward linkage,
 every entry with equal weight, so that a dense group of almost equal points, which lies in one or
 few entries, counts like any other place; the tree is cut at k groups. For each group centre the nearest record is
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from paceline.llm.shards import DIMENSIONS, complete, matrix
 from paceline.plans.lineage import store
 
-#: Bound of the entries in a summary.
+#: Bound of the entries in a summary for few groups.
 ENTRIES = 1024
 FAN_IN = 16
 #: Candidates kept for each centre at first.
@@ -140,23 +141,35 @@ def leaf_entries(rows: DataFrame, dims: list[str], entries: int = ENTRIES) -> Da
 
 
 def ward(c: np.ndarray, groups: int) -> np.ndarray:
-    """A group number for each entry: Ward linkage of entries of equal weight, cut at ``groups``."""
+    """A group number for each entry: Ward linkage of entries of equal weight, cut at ``groups``. The least
+    cost of each row is kept up, so a merge costs a few rows."""
     n = len(c)
     size, centre, member = np.ones(n), c.astype(float).copy(), [[i] for i in range(n)]
-    d = 0.5 * ((c[:, None] - c[None]) ** 2).sum(2)
+    d = np.zeros((n, n))
+    for f in range(c.shape[1]):
+        d += np.square(c[:, f][:, None] - c[:, f][None])
+    d *= 0.5
     np.fill_diagonal(d, np.inf)
     live = np.ones(n, bool)
+    to = d.argmin(1)
+    least = d[np.arange(n), to]
     for _ in range(max(0, n - groups)):
-        i, j = sorted(divmod(int(d.argmin()), n))
+        i = int(least.argmin())
+        i, j = sorted((i, int(to[i])))
         centre[i] = (size[i] * centre[i] + size[j] * centre[j]) / (size[i] + size[j])
         size[i] += size[j]
         member[i] += member[j]
         live[j] = False
-        d[j], d[:, j] = np.inf, np.inf
+        d[j], d[:, j], least[j] = np.inf, np.inf, np.inf
         other = np.flatnonzero(live)
         other = other[other != i]
         cost = size[i] * size[other] / (size[i] + size[other]) * ((centre[other] - centre[i]) ** 2).sum(1)
         d[i, other], d[other, i] = cost, cost
+        stale = np.append(other[(to[other] == i) | (to[other] == j)], i)
+        to[stale] = d[stale].argmin(1)
+        least[stale] = d[stale, to[stale]]
+        closer = other[(cost < least[other]) | ((cost == least[other]) & (i < to[other]))]
+        to[closer], least[closer] = i, d[closer, i]
     group = np.empty(n, int)
     for g, i in enumerate(np.flatnonzero(live)):
         group[member[i]] = g
@@ -173,17 +186,22 @@ def nearest_records(rows: DataFrame, centres: np.ndarray, keep: int, key: str, d
         worst = np.full(len(c), np.inf)
         for batch in batches:
             x, ids = matrix(batch, dims), batch.column(key).to_numpy(zero_copy_only=False)
+            ids, once = np.unique(ids, return_index=True)  # all rows of an id agree
+            x = x[once]
             for lo in range(0, len(x), 4096):
                 part = x[lo : lo + 4096]
                 rough = _squares(part, c)
                 slack = 1e-5 * float((np.square(part - c.mean(0))).sum(1).max(initial=0) + np.square(c - c.mean(0)).sum(1).max()) + 1e-6
-                n = min(len(part), 4 * keep)
-                near = np.argpartition(rough, n - 1, axis=0)[:n]
+                n = min(len(part), keep)
+                # what may be among the ``keep`` nearest, ties and float32 errors included
+                far = np.minimum(np.partition(rough, n - 1, axis=0)[n - 1] + slack, worst + slack)
                 for j in range(len(c)):
-                    rows_ = near[rough[near[:, j], j] <= worst[j] + slack, j]
+                    rows_ = np.flatnonzero(rough[:, j] <= far[j])
                     if not len(rows_):
                         continue
-                    for d, i in zip(np.round(((part[rows_] - c[j]) ** 2).sum(1), 6), ids[lo + rows_]):
+                    exact = np.round(((part[rows_] - c[j]) ** 2).sum(1), 6)
+                    first = np.argsort(exact, kind="stable")[:keep]  # ids ascend: ties go to the least
+                    for d, i in zip(exact[first], ids[lo + rows_[first]]):
                         found[j][int(i)] = float(d)
                     if len(found[j]) > keep:
                         found[j] = dict(sorted(found[j].items(), key=lambda x: (x[1], x[0]))[:keep])
@@ -201,9 +219,15 @@ def varied(df: DataFrame, k: int = 200, key: str = "sample_id", dims: list[str]
     rows = complete(df, key, dims)
     spark = df.sparkSession
     schema = f"`group` int, `{key}` long, d2 double, entries int"
-    leaves = leaf_entries(rows, dims).toArrow()
-    if not leaves.num_rows:
-        return spark.createDataFrame([], schema)
+    entries = max(ENTRIES, 2 * k)
+    while True:
+        leaves = leaf_entries(rows, dims, entries).toArrow()
+        if not leaves.num_rows:
+            return spark.createDataFrame([], schema)
+        # a threshold of zero: every distinct vector is an entry
+        if leaves.num_rows >= k or max(leaves.column("threshold").to_pylist()) == 0:
+            break
+        entries *= 2
     c = np.array(leaves.column("c").to_pylist())
     c = c[np.lexsort(c.T)]
     group = ward(c, k)

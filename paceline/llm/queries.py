@@ -16,6 +16,19 @@ def p1_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.sample(_table(spark, sf_dir, "samples"), 500).select("sample_id", "position")
 
 
+def p1_updated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sample kept after the first half of the pieces, brought up to date with the other half."""
+    df = _table(spark, sf_dir, "samples")
+    half = df.agg(F.max("piece_no")).first()[0] or 0
+    first = F.coalesce(F.col("piece_no") <= half // 2, F.lit(False))
+    return sampling.updated(sampling.sample(df.where(first), 500), df.where(~first), 500).select("sample_id", "position")
+
+
+def p1_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The position of every id in the random order that p1_sample takes the first 500 of."""
+    return sampling.positions(_table(spark, sf_dir, "samples")).select("sample_id", "position")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.clusters(_table(spark, sf_dir, "samples"), 1.0, 3).select("sample_id", "cluster_id")
 
@@ -66,7 +79,7 @@ def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.with_text(splitting.split_oversized(_table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (p1_sample, p2_found, p2_clusters, p3_found, p3_neighbours, p4_varied, p6_ids, p6_round_trip, p7_mixture, p7_shares, p8_found, p8_pieces)}
+QUERIES = {f.__name__: f for f in (p1_sample, p1_updated, p1_layout, p2_found, p2_clusters, p3_found, p3_neighbours, p4_varied, p6_ids, p6_round_trip, p7_mixture, p7_shares, p8_found, p8_pieces)}
 
 SQL = {
     "p6_round_trip": "SELECT doc_id, true AS same FROM documents",

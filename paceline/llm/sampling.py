@@ -37,6 +37,18 @@ def layout(df: DataFrame, key: str, seed: int, first_buckets: int = BUCKETS) ->
     return rows.distinct().withColumn("place", place(key, seed + 1))
 
 
+def positions(df: DataFrame, key: str = "sample_id", seed: int = 1) -> DataFrame:
+    """(key, bucket, position): the whole layout, a position for every distinct id: counts of the buckets, their
+    prefix sums (first over groups of buckets, then inside a group), and the order inside each bucket."""
+    ids = layout(df, key, seed)
+    counts = ids.groupBy("bucket").count().withColumn("part", F.shiftrightunsigned("bucket", 10))
+    parts = counts.groupBy("part").agg(F.sum("count").alias("n"))  # at most 1,024 rows
+    parts = parts.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))
+    starts = counts.join(F.broadcast(parts), "part").select("bucket", (F.col("before") + F.sum("count").over(W.partitionBy("part").orderBy("bucket")) - F.col("count")).alias("before"))
+    inside = F.row_number().over(W.partitionBy("bucket").orderBy("place", key)) - 1
+    return ids.withColumn("inside", inside).join(starts, "bucket").select(key, "bucket", (F.col("before") + F.col("inside")).alias("position"))
+
+
 def sample(df: DataFrame, k: int = 500, key: str = "sample_id", seed: int = 1) -> DataFrame:
     """(key, bucket, position): k ids, each equally likely, with their positions 0..k-1."""
     n = df.count()

@@ -28,6 +28,9 @@ def test_sample(data, spark):
     assert sampling.sample(df, 10**6).count() == len(x) + 3 and sampling.sample(df.limit(0), 5).count() == 0
     a, b = df.where("sample_id % 2 = 0"), df.where("sample_id % 2 = 1")
     assert {r.sample_id for r in sampling.updated(sampling.sample(a, 50), b, 50).collect()} == {r.sample_id for r in got}
+    every = {r.sample_id: r.position for r in sampling.positions(df).collect()}
+    assert sorted(every.values()) == list(range(len(x) + 3)) and {r.sample_id: r.position for r in got} == {i: p for i, p in every.items() if p < 50}
+    assert sampling.positions(df.limit(0)).count() == 0
     ids = spark.range(40).withColumnRenamed("id", "sample_id")
     drawn = np.bincount([r.sample_id for s in range(60) for r in sampling.sample(ids, 10, seed=7 * s).collect()], minlength=40)
     assert drawn.sum() == 600 and ((drawn - 15) ** 2 / 15).sum() < 75  # 39 degrees of freedom, below 0.1 %
@@ -80,6 +83,36 @@ def test_varied(data):
     assert diversity.varied(df.where("sample_id < 7"), 40).count() == 7
 
 
+def test_varied_gives_as_many_as_asked_for(spark):
+    x = np.random.default_rng(5).normal(0, 9, (5000, 12)).round(3)
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)] + [(7, *map(float, x[7]))] * 300, "sample_id long, " + ", ".join(f"{c} double" for c in DIMENSIONS))
+    got = [r.sample_id for r in diversity.varied(df, 1500).collect()]
+    assert len(got) == len(set(got)) == 1500
+
+
+def test_ward_equals_its_definition():
+    c = np.random.default_rng(3).normal(0, 1, (60, 3))
+    group = [[i] for i in range(60)]
+    while len(group) > 7:
+        cost = [(len(a) * len(b) / (len(a) + len(b)) * np.square(c[a].mean(0) - c[b].mean(0)).sum(), i, j) for i, a in enumerate(group) for j, b in enumerate(group) if i < j]
+        _, i, j = min(cost)
+        group[i] += group.pop(j)
+    got = diversity.ward(c, 7)
+    assert sorted(map(sorted, group)) == sorted(sorted(np.flatnonzero(got == g)) for g in range(7))
+
+
+def test_nearest_of_copies_and_few(spark):
+    schema = "sample_id long, " + ", ".join(f"{c} double" for c in DIMENSIONS)
+    rows = [(i, *[2.0] * 12) for i in range(9)] + [(20, *[3.0] * 12)]
+    got = neighbours.nearest(spark.createDataFrame(rows, schema), 5).collect()
+    of = lambda q: sorted((r.d2, r.n) for r in got if r.q == q)
+    assert of(0) == [(0.0, i) for i in range(1, 6)] and of(8) == [(0.0, i) for i in range(5)]
+    assert of(20) == [(12.0, i) for i in range(5)] and len(got) == 50
+    two = neighbours.nearest(spark.createDataFrame(rows[8:], schema), 5).collect()
+    assert sorted((r.q, r.n) for r in two) == [(8, 20), (20, 8)]
+    assert neighbours.nearest(spark.createDataFrame([], schema), 5).count() == 0
+
+
 def test_empty_tables_and_equal_vectors(spark):
     schema = "sample_id long, " + ", ".join(f"{c} double" for c in DIMENSIONS)
     none = spark.createDataFrame([], schema)
