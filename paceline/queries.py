@@ -218,7 +218,7 @@ def random_points(spark, sf_dir):
     return prep.random_points(spark, 10_000, 20)
 
 
-@query("SELECT 'uniform' AS kind, 10000 AS n, 20 AS d, true AS inside, true AS centred UNION ALL SELECT 'summed', 10000, 20, true, true")
+@query("SELECT 'uniform' AS kind, 10000::BIGINT AS n, 20::BIGINT AS d, true AS inside, true AS centred UNION ALL SELECT 'summed', 10000, 20, true, true")
 def random_points_bounds(spark, sf_dir):
     """Bounds and mean of the generators: [0, 1) around 0.5, and [0, 11) around 5.5."""
     def of(kind, df, top):
@@ -233,7 +233,7 @@ def sparse_matrix(spark, sf_dir):
     return prep.sparse_matrix(spark, 100, 100)
 
 
-@query("SELECT 100 AS n, true AS on_step, true AS some")
+@query("SELECT 100::BIGINT AS n, true AS on_step, true AS some")
 def sparse_matrix_shape(spark, sf_dir):
     """In every row the entries that aren't zero stand at the multiples of one step of 5 to 14."""
     at = prep.sparse_matrix(spark, 100, 100).select(F.filter(F.transform("x", lambda v, j: F.when(v != 0, j)), lambda j: j.isNotNull()).alias("at"))
@@ -688,7 +688,7 @@ def cnn_train_step(spark, sf_dir):
     return spark.createDataFrame([(h["superstep"], round(float(h["loss"]), 6), float(h["accuracy"]), h["records"]) for h in history], "superstep int, loss double, accuracy double, records long")
 
 
-@query("SELECT 2 AS tasks, 3 AS supersteps, (SELECT count(*) FROM embeddings) AS first, true AS at_least_one, true AS agreed")
+@query("SELECT 2::BIGINT AS tasks, 3::BIGINT AS supersteps, (SELECT count(*) FROM embeddings) AS first, true AS at_least_one, true AS agreed")
 def kmeans_wall_clock(spark, sf_dir):
     """What holds at any speed: all points at first, one at least in every superstep, one objective for all tasks."""
     e = embeddings(spark, sf_dir)
