@@ -153,14 +153,22 @@ def slots_of(spark: SparkSession, names: list[str], slots: np.ndarray, blocks: n
         return spark.createDataFrame([], "shard long, slot long, source string, block long, repeat long")
     total, first = int(slots.sum()), np.cumsum(slots[used]) - slots[used]
     rows = [F.struct(F.lit(int(f)).alias("first"), F.lit(names[i]).alias("source"), F.lit(int(blocks[i])).alias("blocks")) for f, i in zip(first, used)]  # one for each source
-    drawn = spark.range(total).select("id", permuted(F.col("id"), F.lit(total), F.lit(seed).cast("long")).alias("at"))
-    drawn = drawn.withColumn("of", F.element_at(F.filter(F.array(*rows), lambda r: r["first"] <= F.col("at")), -1))
-    j, n = F.col("at") - F.col("of.first"), F.col("of.blocks")
-    repeat = F.floor(j / n)
-    return drawn.select(
-        F.floor(F.col("id") / shard_blocks).alias("shard"), F.pmod("id", F.lit(shard_blocks)).alias("slot"), F.col("of.source").alias("source"),
-        permuted(F.pmod(j, n), n, F.xxhash64("of.source", repeat, F.lit(seed))).alias("block"), repeat.alias("repeat"),
-    )
+
+    def slot(at: Column) -> Column:
+        def of_source(r: Column) -> Column:
+            def in_repeat(p: Column) -> Column:
+                block = permuted(p["j"] - p["repeat"] * r["blocks"], r["blocks"], F.xxhash64(r["source"], p["repeat"], F.lit(seed)))
+                return F.struct(r["source"].alias("source"), block.alias("block"), p["repeat"].alias("repeat"))
+
+            j = at - r["first"]
+            return bpe.let(F.struct(j.alias("j"), _div(j, r["blocks"]).alias("repeat")), in_repeat)
+
+        return bpe.let(F.element_at(F.filter(F.array(*rows), lambda r: r["first"] <= at), -1), of_source)
+
+    drawn = bpe.let(permuted(F.col("id"), F.lit(total), F.lit(seed).cast("long")), slot)
+    each = spark.range(total).select(F.floor(F.col("id") / shard_blocks).alias("shard"), F.pmod("id", F.lit(shard_blocks)).alias("slot"), drawn.alias("s"))
+    # stored, for a filter of the join would draw every slot once more
+    return store(each.select("shard", "slot", "s.source", "s.block", "s.repeat"))
 
 
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
