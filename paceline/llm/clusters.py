@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from paceline.llm.neighbours import DECIMALS, collapse
-from paceline.llm.shards import DIMENSIONS, Tree, complete, matrix, sampled_tree, scatter
+from paceline.llm.shards import DIMENSIONS, Tree, by_leaf, complete, matrix, sampled_tree, scatter
 from paceline.plans.lineage import cut, store
 
 LEAF_ROWS = 4_000
@@ -165,8 +165,8 @@ def clusters(df: DataFrame, radius: float = 1.0, least: int = 1, key: str = "sam
     spread = scatter(rows, tree, radius, None, key, dims, lower_only=True)
     shared = df.sparkSession.sparkContext.broadcast(tree)  # bounded by the sample
     local = store(
-        spread.groupBy("leaf").applyInArrow(
-            lambda k, t: _shard(k[0].as_py(), t, key, dims, radius, least, shared.value),
+        by_leaf(spread, tree).applyInArrow(
+            lambda k, t: _shard(int(np.flatnonzero(shared.value.names == k[0].as_py())[0]), t, key, dims, radius, least, shared.value),
             "node long, id long, home boolean, open boolean, pivot long, size long, final boolean, leaf int",
         )
     )

@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from paceline.llm import graph
-from paceline.llm.shards import DIMENSIONS, complete, matrix, sampled_tree, scatter
+from paceline.llm.shards import DIMENSIONS, by_leaf, complete, matrix, sampled_tree, scatter
 from paceline.plans.lineage import store
 
 DECIMALS = 6
@@ -156,7 +156,7 @@ def _search(df: DataFrame, k: int, radius: float, key: str, dims: list[str], bea
         schema = pa.schema([("q", pa.int64()), ("n", pa.int64()), ("d2", pa.float64()), ("kind", pa.int8())])
         return pa.Table.from_batches(parts, schema)
 
-    return store(spread.groupBy("leaf").applyInArrow(run, "q long, n long, d2 double, kind byte"))
+    return store(by_leaf(spread, tree).applyInArrow(run, "q long, n long, d2 double, kind byte"))
 
 
 def _finished(found: DataFrame, k: int) -> DataFrame:
@@ -266,8 +266,9 @@ def nearest(df: DataFrame, k: int = 5, key: str = "sample_id", dims: list[str] =
     spread = scatter(rows, tree, 0.0, None, key, dims).where("home")
     vector, lists = ", ".join(f"`{c}` double" for c in dims), "near array<struct<d2:double,n:long>>"
     schema = f"leaf int, slot int, id long, first boolean, kth double, {lists}, {vector}, edges array<int>, top array<long>"
-    local = store(spread.groupBy("leaf").applyInArrow(lambda g, t: _at_home(g[0].as_py(), t, key, dims, k, beam), schema))
     shared = df.sparkSession.sparkContext.broadcast(tree)  # bounded by the sample
+    number = lambda g: int(np.flatnonzero(shared.value.names == g[0].as_py())[0])
+    local = store(by_leaf(spread, tree).applyInArrow(lambda g, t: _at_home(number(g), t, key, dims, k, beam), schema))
 
     def elsewhere(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = shared.value

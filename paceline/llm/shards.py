@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bound of the rows that the tree is fitted on.
@@ -46,6 +46,7 @@ class Tree:
     box_low: np.ndarray  # of each leaf
     box_high: np.ndarray
     sample: list[np.ndarray]  # sampled vectors of each leaf
+    names: np.ndarray | None = None  # the leaf column's value for each leaf (see ``partition_keys``)
 
     @property
     def leaves(self) -> int:
@@ -128,6 +129,22 @@ def fit_tree(sample: np.ndarray, leaves: int) -> Tree:
     return Tree(np.array(dim, np.int32), np.array(at, float), np.array(low, np.int32), np.array(high, np.int32), np.array(boxes_low), np.array(boxes_high), kept)
 
 
+def partition_keys(spark: SparkSession, n: int) -> np.ndarray:
+    """For each of n partitions the least number that Spark's hash partitioning puts there."""
+    most = 16 * n
+    while True:
+        number = F.col("id").cast("int")
+        rows = spark.range(most).groupBy(F.pmod(F.hash(number), F.lit(n)).alias("p")).agg(F.min(number).alias("k")).collect()
+        if len(rows) == n:
+            return np.array([r.k for r in sorted(rows, key=lambda r: r.p)], np.int32)
+        most *= 2
+
+
+def by_leaf(spread: DataFrame, tree: Tree):
+    """The rows of each leaf as a group, every leaf in a task of its own."""
+    return spread.repartition(tree.leaves, "leaf").groupBy("leaf")
+
+
 def sampled_tree(df: DataFrame, leaf_rows: int, key: str, dims: list[str], seed: int = 11) -> Tree:
     """The tree for the complete vectors ``df``: fitted on a hash sample of at most about SAMPLE rows."""
     n = max(1, df.count())
@@ -141,6 +158,7 @@ def sampled_tree(df: DataFrame, leaf_rows: int, key: str, dims: list[str], seed:
         x = x[np.unique(rows["_key"].to_numpy(), return_index=True)[1]]
         home = tree.home(x)
         tree.sample = [x[home == leaf] for leaf in range(tree.leaves)]
+    tree.names = partition_keys(df.sparkSession, tree.leaves)
     return tree
 
 
@@ -171,7 +189,7 @@ def _reach(x: np.ndarray, home: np.ndarray, tree: Tree, k: int, radius: float) -
 
 
 def scatter(df: DataFrame, tree: Tree, radius: float, k: int | None, key: str, dims: list[str], lower_only: bool = False) -> DataFrame:
-    """(leaf, home, open, key, dims): every row at home, and at the shards that it visits. ``open`` rows
+    """(leaf, home, open, key, dims): every row at home, and at the shards that it visits (``leaf`` is a name). ``open`` rows
     visit somewhere. With ``k`` the radius shrinks to the k-th sampled neighbour. With ``lower_only``
     rows visit leaves below their own only: enough where one side of a link suffices."""
     spark = df.sparkSession
@@ -193,7 +211,7 @@ def scatter(df: DataFrame, tree: Tree, radius: float, k: int | None, key: str, d
             every = np.concatenate([np.arange(len(x)), row])
             rows = batch.select([key, *dims]).take(pa.array(every))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([home, leaf]).astype(np.int32)), pa.array(np.arange(len(every)) < len(x)), pa.array(is_open[every]), *rows.columns],
+                [pa.array(tree.names[np.concatenate([home, leaf])]), pa.array(np.arange(len(every)) < len(x)), pa.array(is_open[every]), *rows.columns],
                 names=["leaf", "home", "open", key, *dims],
             )
 
