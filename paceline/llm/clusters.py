@@ -165,7 +165,7 @@ def clusters(df: DataFrame, radius: float = 1.0, least: int = 1, key: str = "sam
     spread = scatter(rows, tree, radius, None, key, dims, lower_only=True)
     shared = df.sparkSession.sparkContext.broadcast(tree)  # bounded by the sample
     local = store(
-        by_leaf(spread, tree).applyInArrow(
+        by_leaf(spread, tree, 8).applyInArrow(
             lambda k, t: _shard(int(np.flatnonzero(shared.value.names == k[0].as_py())[0]), t, key, dims, radius, least, shared.value),
             "node long, id long, home boolean, open boolean, pivot long, size long, final boolean, leaf int",
         )

@@ -140,9 +140,14 @@ def partition_keys(spark: SparkSession, n: int) -> np.ndarray:
         most *= 2
 
 
-def by_leaf(spread: DataFrame, tree: Tree):
-    """The rows of each leaf as a group, every leaf in a task of its own."""
-    return spread.repartition(tree.leaves, "leaf").groupBy("leaf")
+def by_leaf(spread: DataFrame, tree: Tree, in_task: int = 1):
+    """The rows of each leaf as a group; ``in_task`` (1, 2, 4 or 8) leaves in a task at most."""
+    return spread.repartition(_rounded(tree.leaves) // in_task, "leaf").groupBy("leaf")
+
+
+def _rounded(leaves: int) -> int:
+    """To a multiple of 8, so that keys which are apart among so many partitions share one of half as many by twos."""
+    return -(-leaves // 8) * 8
 
 
 def sampled_tree(df: DataFrame, leaf_rows: int, key: str, dims: list[str], seed: int = 11) -> Tree:
@@ -158,7 +163,7 @@ def sampled_tree(df: DataFrame, leaf_rows: int, key: str, dims: list[str], seed:
         x = x[np.unique(rows["_key"].to_numpy(), return_index=True)[1]]
         home = tree.home(x)
         tree.sample = [x[home == leaf] for leaf in range(tree.leaves)]
-    tree.names = partition_keys(df.sparkSession, tree.leaves)
+    tree.names = partition_keys(df.sparkSession, _rounded(tree.leaves))[: tree.leaves]
     return tree
 
 
